@@ -65,3 +65,72 @@ def clean_results(df: DataFrame) -> DataFrame:
 def time_rows(df: DataFrame, time_col: str = "total_vectorization_time") -> DataFrame:
     """Rows with a positive, non-null time."""
     return df.filter(F.col(time_col) > 0)
+
+
+def summarize(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """MEAN and STD (sample) of every numeric column per result file (dataset, model, vectoriser).
+
+    Returns a separate table ``(*keys, stat, *numeric)``; the result rows stay untouched.
+    A group of one row has a null STD.
+    """
+    keys = keys or GROUP_KEYS
+    num = [c for c in numeric_columns(df) if c not in keys]
+    aggs = [F.avg(c).alias(f"mean__{c}") for c in num] + [F.stddev_samp(c).alias(f"std__{c}") for c in num]
+    g = df.groupBy(*keys).agg(*aggs)
+    mean = g.select(*keys, F.lit("MEAN").alias("stat"), *[F.col(f"mean__{c}").alias(c) for c in num])
+    std = g.select(*keys, F.lit("STD").alias("stat"), *[F.col(f"std__{c}").alias(c) for c in num])
+    return mean.unionByName(std)
+
+
+def metric_means(df: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """R2: mean metrics by (model, vectoriser) overall and by (dataset, model, vectoriser), one pass.
+
+    ``level`` is 0 for the per-dataset rows and 1 for the overall rows.
+    """
+    metrics = metrics or METRICS
+    sets = [["model_name", "vectorizer_name"], ["dataset_name", "model_name", "vectorizer_name"]]
+    g = df.groupingSets(sets, "dataset_name", "model_name", "vectorizer_name")
+    return g.agg(F.grouping("dataset_name").cast("long").alias("level"),
+                 *[F.avg(m).alias(m) for m in metrics])
+
+
+def metric_pivot(df: DataFrame, vectorizers: list[str], metric: str = "f1_score") -> DataFrame:
+    """Rows (dataset, model), one column per vectoriser name (given, so no extra pass), mean metric."""
+    return df.groupBy("dataset_name", "model_name").pivot("vectorizer_name", vectorizers).agg(F.avg(metric))
+
+
+def box_stats(df: DataFrame, value: str, keys: list[str], approx: bool = False,
+              accuracy: int = 10000) -> DataFrame:
+    """Quartiles, 1.5 IQR whiskers and outlier count per group.
+
+    Exact quartiles (linear interpolation) by default; ``approx=True`` uses
+    the bounded-memory ``percentile_approx`` sketch for very large groups.
+    """
+    if approx:
+        q = F.percentile_approx(value, [0.25, 0.5, 0.75], accuracy)
+    else:
+        q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    quart = (df.groupBy(*keys).agg(q.alias("_q"), F.count(value).cast("long").alias("n"))
+               .select(*keys, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
+                       F.col("_q")[2].alias("q3")))
+    quart = quart.withColumn("iqr", F.col("q3") - F.col("q1"))
+    lo = F.col("q1") - 1.5 * F.col("iqr")
+    hi = F.col("q3") + 1.5 * F.col("iqr")
+    # Quartiles are one row per group; joining them back is a keyed lookup.
+    from corpuslab.operators.joins import lookup_join
+
+    joined = lookup_join(df.select(*keys, value).filter(F.col(value).isNotNull()), quart, keys)
+    inside = (F.col(value) >= lo) & (F.col(value) <= hi)
+    fences = joined.groupBy(*keys).agg(
+        F.min(F.when(inside, F.col(value))).alias("whisker_low"),
+        F.max(F.when(inside, F.col(value))).alias("whisker_high"),
+        F.sum(F.when(inside, 0).otherwise(1)).cast("long").alias("n_outliers"))
+    return quart.join(fences, keys, "left")
+
+
+def inventory(df: DataFrame) -> DataFrame:
+    """Per dataset, the sorted distinct models and vectorisers and the row count."""
+    return df.groupBy("dataset_name").agg(
+        F.array_join(F.array_sort(F.collect_set("model_name")), ",").alias("models"),
+        F.array_join(F.array_sort(F.collect_set("vectorizer_name")), ",").alias("vectorizers"),
+        F.count(F.lit(1)).cast("long").alias("n_rows"))

@@ -33,10 +33,15 @@ def queries() -> dict[str, Query]:
         "rename_features": TQ.rename_features,
         "slugify": TQ.slugify,
     })
+    from corpuslab.plans import analytics_queries as AQ
+
+    out.update(AQ.QUERIES)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     from corpuslab.plans.oracle import text_oracles
 
-    return text_oracles()
+    from corpuslab.plans import analytics_queries as AQ
+
+    return {**text_oracles(), **AQ.ORACLES}
