@@ -36,6 +36,9 @@ def queries() -> dict[str, Query]:
     from corpuslab.plans import analytics_queries as AQ
 
     out.update(AQ.QUERIES)
+    from corpuslab.plans import vector_queries as VQ
+
+    out.update(VQ.QUERIES)
     return out
 
 
@@ -44,4 +47,6 @@ def oracle_sql() -> dict[str, str]:
 
     from corpuslab.plans import analytics_queries as AQ
 
-    return {**text_oracles(), **AQ.ORACLES}
+    from corpuslab.plans import vector_queries as VQ
+
+    return {**text_oracles(), **AQ.ORACLES, **VQ.ORACLES}
