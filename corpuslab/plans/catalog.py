@@ -39,6 +39,9 @@ def queries() -> dict[str, Query]:
     from corpuslab.plans import vector_queries as VQ
 
     out.update(VQ.QUERIES)
+    from corpuslab.plans import model_queries as MQ
+
+    out.update(MQ.QUERIES)
     return out
 
 
@@ -49,4 +52,6 @@ def oracle_sql() -> dict[str, str]:
 
     from corpuslab.plans import vector_queries as VQ
 
-    return {**text_oracles(), **AQ.ORACLES, **VQ.ORACLES}
+    from corpuslab.plans import model_queries as MQ
+
+    return {**text_oracles(), **AQ.ORACLES, **VQ.ORACLES, **MQ.ORACLES}
