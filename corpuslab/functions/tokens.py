@@ -87,3 +87,20 @@ def ngram_range(tokens: Column, lo: int, hi: int) -> Column:
     """All n-grams for n in [lo, hi], shorter ones first (config ``ngram_range``)."""
     parts = [ngrams(tokens, n) for n in range(lo, hi + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+
+def explode_items(arr: Column, name: str):
+    """Rows of an array column *without* re-evaluating the array expression.
+
+    ``explode`` lets the optimizer infer a ``size(arr) > 0`` filter and push
+    it down to the scan, which evaluates an expensive token expression twice
+    (once in the filter, once in the projection). ``explode_outer`` plus a
+    null test on the generated column keeps exactly the same rows.
+    Returns ``(generator column, filter condition)``.
+    """
+    return F.explode_outer(arr).alias(name), F.col(name).isNotNull()
+
+
+def posexplode_items(arr: Column, pos: str, name: str):
+    """``posexplode`` counterpart of ``explode_items``."""
+    return F.posexplode_outer(arr).alias(pos, name), F.col(pos).isNotNull()

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import squash
+from corpuslab.functions.tokens import posexplode_items
 from corpuslab.operators.joins import lookup_join
 
 # Noun detachment rules (suffix, replacement), in rule order.
@@ -70,7 +71,8 @@ def lemmatize_text(df: DataFrame, col: str, lexicon: DataFrame, exceptions: Data
     Words are re-assembled per document (a group bounded by one document's
     length); null text stays null, empty text stays empty.
     """
-    words = df.select(key, F.posexplode(F.split(squash(F.col(col)), " ")).alias("pos", "word"))
+    gen, keep = posexplode_items(F.split(squash(F.col(col)), " "), "pos", "word")
+    words = df.select(key, gen).filter(keep)
     lem = lemmatize_tokens(words, "word", lexicon, exceptions)
     joined = lem.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]),

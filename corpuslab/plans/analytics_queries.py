@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from corpuslab.operators import evaluate as E
 from corpuslab.operators import results as R
 from corpuslab.operators import splits as SP
-from corpuslab.plans.inputs import documents, r6, table
-from corpuslab.plans.sqlfrag import r6 as sr6
+from corpuslab.plans.inputs import documents, r9, table
+from corpuslab.plans.sqlfrag import r9 as sr9
 
 VECTORIZERS = ["BoW", "TF-IDF", "Word2Vec", "GloVe", "Doc2Vec", "BERT", "RoBERTa", "ALBERT", "E5",
                "InstructorEmbedding", "GPT2"]
@@ -76,7 +76,7 @@ CLEAN_RESULTS_SQL = f"""(
 
 
 def _round_cols(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(*[r6(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.select(*[r9(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def results_clean(spark, sf_dir):
@@ -141,15 +141,15 @@ f AS (SELECT {keys}, min(CASE WHEN v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 *
 
 
 def _box_select(keys: str, extra: str = "") -> str:
-    return (f"SELECT {keys}, n, {sr6('q1')} AS q1, {sr6('median')} AS median, {sr6('q3')} AS q3, "
-            f"{sr6('q3 - q1')} AS iqr, {sr6('whisker_low')} AS whisker_low, {sr6('whisker_high')} AS whisker_high, "
+    return (f"SELECT {keys}, n, {sr9('q1')} AS q1, {sr9('median')} AS median, {sr9('q3')} AS q3, "
+            f"{sr9('q3 - q1')} AS iqr, {sr9('whisker_low')} AS whisker_low, {sr9('whisker_high')} AS whisker_high, "
             f"n_outliers{extra} FROM q LEFT JOIN f USING ({keys})")
 
 
-_M = ", ".join(f"{sr6(c)} AS {c}" for c in METRIC_COLS)
-_MEAN = ", ".join(f"{sr6('avg(' + c + ')')} AS {c}" for c in METRIC_COLS + ["fold_number", "total_vectorization_time"])
-_STD = ", ".join(f"{sr6('stddev_samp(' + c + ')')} AS {c}" for c in METRIC_COLS + ["fold_number", "total_vectorization_time"])
-_PIV = ", ".join(f"{sr6('avg(f1_score) FILTER (WHERE vectorizer_name = ' + repr(v) + ')')} AS \"{v}\""
+_M = ", ".join(f"{sr9(c)} AS {c}" for c in METRIC_COLS)
+_MEAN = ", ".join(f"{sr9('avg(' + c + ')')} AS {c}" for c in METRIC_COLS + ["fold_number", "total_vectorization_time"])
+_STD = ", ".join(f"{sr9('stddev_samp(' + c + ')')} AS {c}" for c in METRIC_COLS + ["fold_number", "total_vectorization_time"])
+_PIV = ", ".join(f"{sr9('avg(f1_score) FILTER (WHERE vectorizer_name = ' + repr(v) + ')')} AS \"{v}\""
                  for v in VECTORIZERS)
 
 RESULTS_ORACLES = {
@@ -165,7 +165,7 @@ RESULTS_ORACLES = {
         GROUP BY dataset_name, model_name, vectorizer_name""",
     "results_means": f"""
         SELECT dataset_name, model_name, vectorizer_name, CAST(grouping(dataset_name) AS BIGINT) AS level,
-               {", ".join(f"{sr6('avg(' + c + ')')} AS {c}" for c in METRIC_COLS)}
+               {", ".join(f"{sr9('avg(' + c + ')')} AS {c}" for c in METRIC_COLS)}
         FROM {CLEAN_RESULTS_SQL}
         GROUP BY GROUPING SETS ((model_name, vectorizer_name), (dataset_name, model_name, vectorizer_name))""",
     "results_pivot_f1": f"""SELECT dataset_name, model_name, {_PIV} FROM {CLEAN_RESULTS_SQL}
@@ -340,14 +340,14 @@ rep AS (SELECT label, CAST(support AS BIGINT) AS support, CAST(precision AS DOUB
 
 EVAL_ORACLES = {
     "eval_confusion": f"WITH {_EVAL} SELECT label, prediction, n FROM cells",
-    "eval_class_report": f"""WITH {_EVAL} SELECT label, {sr6('precision')} AS precision, {sr6('recall')} AS recall,
-        {sr6('f1')} AS f1, support FROM rep""",
-    "eval_accuracy": f"""WITH {_EVAL} SELECT {sr6('sum(CASE WHEN label = prediction THEN n ELSE 0 END) / sum(n)')}
+    "eval_class_report": f"""WITH {_EVAL} SELECT label, {sr9('precision')} AS precision, {sr9('recall')} AS recall,
+        {sr9('f1')} AS f1, support FROM rep""",
+    "eval_accuracy": f"""WITH {_EVAL} SELECT {sr9('sum(CASE WHEN label = prediction THEN n ELSE 0 END) / sum(n)')}
         AS accuracy, CAST(sum(n) AS BIGINT) AS n FROM cells""",
-    "eval_macro": f"""WITH {_EVAL} SELECT {sr6('avg(precision)')} AS precision, {sr6('avg(recall)')} AS recall,
-        {sr6('avg(f1)')} AS f1 FROM rep""",
-    "eval_weighted": f"""WITH {_EVAL} SELECT {sr6('sum(precision * support) / sum(support)')} AS precision,
-        {sr6('sum(recall * support) / sum(support)')} AS recall, {sr6('sum(f1 * support) / sum(support)')} AS f1
+    "eval_macro": f"""WITH {_EVAL} SELECT {sr9('avg(precision)')} AS precision, {sr9('avg(recall)')} AS recall,
+        {sr9('avg(f1)')} AS f1 FROM rep""",
+    "eval_weighted": f"""WITH {_EVAL} SELECT {sr9('sum(precision * support) / sum(support)')} AS precision,
+        {sr9('sum(recall * support) / sum(support)')} AS recall, {sr9('sum(f1 * support) / sum(support)')} AS f1
         FROM rep""",
 }
 

@@ -20,6 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Hash-partition by ``key`` only when the scan has fewer splits than the cluster has cores.
+
+    A source stored as one large row group yields a single busy task; at
+    cluster scale (thousands of splits) this is a no-op, so the corpus is
+    never shuffled just to be read.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 RICH_TEXT_SQL = """concat(
   CASE lang
     WHEN 'en' THEN concat('From: author', chr(10), 'Subject: re ', source, chr(10), chr(10))
@@ -32,7 +46,7 @@ RICH_TEXT_SQL = """concat(
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def rich_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,3 +67,8 @@ def labelled_corpus(spark: SparkSession, sf_dir: str, target: str = "quality") -
 def r6(c):
     """Round half up to 6 decimals in a form Spark and DuckDB agree on."""
     return F.floor(c * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+
+
+def r9(c):
+    """9-decimal form, for means of values with few decimals (exact 6-digit ties)."""
+    return F.floor(c * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)

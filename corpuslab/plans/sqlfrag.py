@@ -149,3 +149,7 @@ def clean(x: str, stages: list[str]) -> str:
 
 def r6(x: str) -> str:
     return f"(floor(({x}) * 1e6 + 0.5) / 1e6)"
+
+
+def r9(x: str) -> str:
+    return f"(floor(({x}) * 1e9 + 0.5) / 1e9)"

@@ -91,7 +91,8 @@ def token_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus frequency of word bigrams seen at least twice."""
     t = _default_tokens(spark, sf_dir)
-    grams = t.select(F.explode(K.ngrams(F.col("tokens"), 2)).alias("ngram"))
+    gen, keep = K.explode_items(K.ngrams(F.col("tokens"), 2), "ngram")
+    grams = t.select(gen).filter(keep)
     return (grams.groupBy("ngram").agg(F.count(F.lit(1)).cast("long").alias("n"))
                  .filter(F.col("n") >= 2))
 
@@ -103,7 +104,9 @@ def _labelled_tf(spark: SparkSession, sf_dir: str, min_df=1, max_df=1.0, max_fea
     cleaned = clean(corpus, T.DEFAULT_STAGES, cols=["text"])
     toks = cleaned.select("doc_id", "label",
                           K.analyzer_tokens(K.vectorizer_tokens(F.col("text"))).alias("tokens"))
-    tf = term_frequencies(toks, carry=("label",))
+    # Persisted: the vocabulary fit and the weights both read it, and
+    # recomputing it would re-run the whole cleaning pipeline.
+    tf = term_frequencies(toks, carry=("label",)).persist()
     n_docs = corpus.count()
     vocab = fit_vocabulary(tf, n_docs, min_df=min_df, max_df=max_df, max_features=max_features)
     return corpus, tf, vocab

@@ -26,8 +26,9 @@ from corpuslab.plans.oracle import RICH
 
 
 def _alpha_words(df: DataFrame) -> DataFrame:
-    return df.select(F.explode(F.filter(K.word_tokens(F.lower("text")),
-                                        lambda t: t.rlike(K.ALPHA_PATTERN))).alias("word"))
+    gen, keep = K.explode_items(F.filter(K.word_tokens(F.lower("text")), lambda t: t.rlike(K.ALPHA_PATTERN)),
+                                "word")
+    return df.select(gen).filter(keep)
 
 
 def english_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +102,8 @@ def corpus_word_vectors(tokens: DataFrame) -> DataFrame:
 
 def _doc_terms(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return docs.select("doc_id", F.explode(K.vectorizer_tokens(F.col("text"))).alias("term")), docs
+    gen, keep = K.explode_items(K.vectorizer_tokens(F.col("text")), "term")
+    return docs.select("doc_id", gen).filter(keep), docs
 
 
 def pretrained_doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
