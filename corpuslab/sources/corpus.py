@@ -20,6 +20,15 @@ from corpuslab.operators.clean import dedup_rows
 
 DEFAULT_NA = ("NA", "N/A", "NaN", "nan", "null", "NULL", "")
 
+# Spark's CSV reader takes canonical charset names only.
+CHARSET_ALIASES = {"latin-1": "iso-8859-1", "latin1": "iso-8859-1", "l1": "iso-8859-1", "utf8": "utf-8",
+                   "ascii": "us-ascii", "": "utf-8"}
+
+
+def canonical_charset(name: str | None) -> str:
+    n = (name or "").strip().lower().replace("_", "-")
+    return CHARSET_ALIASES.get(n, n)
+
 
 def with_content_key(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Deterministic ``key`` from content: hash(row) and rank among identical copies."""
@@ -33,7 +42,8 @@ def read_labelled_csv(spark: SparkSession, path: str | list[str], target: str, e
                       sep: str = ",", schema: StructType | None = None,
                       na_values: tuple[str, ...] = DEFAULT_NA) -> DataFrame:
     """IO1: a CSV with a header; ``target`` becomes ``label``; pandas-like missing markers -> null."""
-    reader = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+    reader = (spark.read.option("header", True).option("sep", sep or ",")
+                   .option("encoding", canonical_charset(encoding))
                    .option("multiLine", True).option("quote", '"').option("escape", '"'))
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", False)
     df = reader.csv(path)
@@ -67,7 +77,7 @@ def read_labelled_directory(spark: SparkSession, root: str, categories: list[str
 
     The category filter is a predicate on the path column, applied right at the scan.
     """
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    raw = (spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
                 .select(F.col("value").alias(text_col), F.col("_metadata.file_path").alias("_path")))
     parts = F.split(F.col("_path"), "/")
     df = raw.select(text_col, F.element_at(parts, -2).alias("label"), F.element_at(parts, -3).alias("split"),
