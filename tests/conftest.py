@@ -4,7 +4,11 @@ import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_TESTS = os.path.dirname(os.path.abspath(__file__))
+_REPO = os.path.dirname(_TESTS)
+sys.path.insert(0, _REPO)
+# Python workers inherit this: they can import the package and helpers defined in tests.
+os.environ["PYTHONPATH"] = os.pathsep.join([_REPO, _TESTS, os.environ.get("PYTHONPATH", "")]).rstrip(os.pathsep)
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_CHECK = "/root/testdata/sf0.01"

@@ -136,3 +136,13 @@ def test_lemmatization_stage(spark):
     lex = spark.createDataFrame([("cat",), ("box",), ("dog",)], "word string")
     out = {r.doc_id: r.text for r in clean(df, ["lemmatization_eng"], cols=["text"], lexicon=lex).collect()}
     assert out == {1: "cat box Cats dog", 2: "", 3: None}
+
+
+def test_register_stage_user_column_function(spark):
+    T.register_stage("strip_x", lambda c: F.regexp_replace(c, "x", ""))
+    try:
+        df = spark.createDataFrame([(1, "axbx C")], "doc_id long, text string")
+        out = clean(df, ["strip_x", "lowercase"], cols=["text"]).first().text
+        assert out == "ab c"
+    finally:
+        T.STAGES.pop("strip_x", None)

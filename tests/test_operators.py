@@ -166,3 +166,26 @@ def test_oracle_names_match_on_small_data(spark):
             continue
         cols = [c[0] for c in con.execute(f"SELECT * FROM ({sql}) LIMIT 0").description]
         assert sorted(cols) == sorted(qs[name](spark, SF_SMALL).columns), name
+
+
+class _TwiceEncoder:
+    def __call__(self, ids, mask):
+        import numpy as np
+
+        return np.stack([ids * 2.0], axis=-1)
+
+
+def _twice_factory():
+    return _TwiceEncoder()
+
+
+def test_custom_encoder_factory_masked_mean(spark):
+    from corpuslab.operators.chunks import encode_chunks
+
+    prof = EncoderProfile("t", "t", 4, (1,), (3,), 0)
+    df = spark.createDataFrame([(1, [5, 7]), (2, [])], "doc_id long, ids array<int>")
+    ch = chunk_windows(df, "ids", prof)
+    got = {(r.doc_id, r.chunk_no): list(r.vector) for r in encode_chunks(ch, _twice_factory, prof, batch_size=2)
+           .collect()}
+    # padding is masked out: chunk [1,5,7,3] -> mean 8; chunk [1,3] -> mean 4 (not diluted by pad zeros)
+    assert got == {(1, 0): [8.0], (2, 0): [4.0]}
