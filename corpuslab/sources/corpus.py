@@ -30,11 +30,25 @@ def canonical_charset(name: str | None) -> str:
     return CHARSET_ALIASES.get(n, n)
 
 
-def with_content_key(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Deterministic ``key`` from content: hash(row) and rank among identical copies."""
+COPIES_PER_BLOCK = 1 << 20
+
+
+def with_content_key(df: DataFrame, key: str = "doc_id", copies_per_block: int = COPIES_PER_BLOCK) -> DataFrame:
+    """Deterministic ``key`` from content: hash(row) and rank among identical copies.
+
+    Copies are re-expanded in two steps - blocks of ``copies_per_block``
+    spread over tasks, then the copies of each block - so a row copied a
+    billion times is not regenerated by a single task.
+    """
     cols = df.columns
     counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
-    expanded = counted.select(*cols, F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_dup"))
+    b = F.lit(copies_per_block)
+    blocks = counted.select(*cols, "_copies", F.explode(F.sequence(
+        F.lit(0), ((F.col("_copies") - 1) / b).cast("long"))).alias("_blk"))
+    blocks = blocks.repartition(F.xxhash64(*cols, "_blk"))
+    lo = F.col("_blk") * b
+    hi = F.least(F.col("_copies"), lo + b) - 1
+    expanded = blocks.select(*cols, F.explode(F.sequence(lo, hi)).alias("_dup"))
     return expanded.select(F.xxhash64(*cols, "_dup").alias(key), *cols)
 
 

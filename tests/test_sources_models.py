@@ -145,3 +145,26 @@ def test_streaming_clean(spark, scratch):
     assert spark.table("cleaned_stream").count() == 200
     with pytest.raises(ValueError):
         clean_stream(read_stream(spark, src, schema), ["remove_duplicates"], ["text"])
+
+
+def test_large_vocabulary_path_equals_mllib_path(spark, small_split):
+    from corpuslab.operators import vectorizers as V
+
+    train, test = small_split
+    for name in ("BoW", "TF-IDF"):
+        a = V.fit_vectorizer(name, train, {"max_broadcast_terms": 10 ** 9})
+        b = V.fit_vectorizer(name, train, {"max_broadcast_terms": 0})
+        assert a.state["path"] == "mllib" and b.state["path"] == "long"
+        fa = {r.doc_id: r.features for r in a.transform(test).select("doc_id", "features").collect()}
+        fb = {r.doc_id: r.features for r in b.transform(test).select("doc_id", "features").collect()}
+        assert fa.keys() == fb.keys()
+        for k in fa:
+            assert list(fa[k].indices) == list(fb[k].indices), name
+            assert max([abs(x - y) for x, y in zip(fa[k].values, fb[k].values)] or [0]) < 1e-12, name
+
+
+def test_content_key_blocks(spark):
+    df = spark.createDataFrame([("a",)] * 7 + [("b",)] * 2, "text string")
+    small = SRC.with_content_key(df, copies_per_block=3).collect()
+    big = SRC.with_content_key(df).collect()
+    assert sorted(r.doc_id for r in small) == sorted(r.doc_id for r in big) and len({r.doc_id for r in small}) == 9
