@@ -152,3 +152,30 @@ def load_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
     if spec.dedup and spec.fmt != "directory":
         df = dedup_rows(df, key="doc_id")
     return df
+
+
+# The reference's dataset registry (names, targets, encodings,
+# delimiters, pre-split files, newsgroup categories, stage lists). File
+# locations are relative to a caller-given root.
+NEWSGROUP_CATEGORIES = ["alt.atheism", "talk.religion.misc", "comp.graphics", "sci.space"]
+DEFAULT_STAGE_LIST = ["remove_headers", "remove_reply_markers", "remove_urls", "remove_handles", "lowercase",
+                      "normalize_whitespace", "light_remove_punctuation", "remove_stopwords_eng"]
+
+
+def reference_registry(root: str) -> dict[str, DatasetSpec]:
+    """IO5: the six registry entries, pointing below ``root``."""
+    r = root.rstrip("/")
+    return {
+        "20_Newsgroups": DatasetSpec("20_Newsgroups", target="label", path=f"{r}/20_Newsgroups", fmt="directory",
+                                     dedup=False, categories=NEWSGROUP_CATEGORIES, stages=DEFAULT_STAGE_LIST),
+        "IMDB_Reviews": DatasetSpec("IMDB_Reviews", target="sentiment",
+                                    path=f"{r}/IMDB_Reviews/IMDB_Dataset.csv", stages=DEFAULT_STAGE_LIST),
+        "Pt_Tweets_SA": DatasetSpec("Pt_Tweets_SA", target="sentiment",
+                                    train_path=f"{r}/Pt_Tweets_S_A/TrainingDatasets/Train3Classes.csv",
+                                    test_path=f"{r}/Pt_Tweets_S_A/TestDatasets/Test3Classes.csv",
+                                    encoding="latin-1", sep=";"),
+        "SMS_SPAM": DatasetSpec("SMS_SPAM", target="v1", path=f"{r}/SMS_SPAM/spam.csv", encoding="latin-1"),
+        "WELFake": DatasetSpec("WELFake", target="label", path=f"{r}/WELFake/WELFake_Dataset.csv"),
+        "AG_News": DatasetSpec("AG_News", target="Class Index", train_path=f"{r}/AG_News/train.csv",
+                               test_path=f"{r}/AG_News/test.csv"),
+    }

@@ -189,3 +189,28 @@ def test_custom_encoder_factory_masked_mean(spark):
            .collect()}
     # padding is masked out: chunk [1,5,7,3] -> mean 8; chunk [1,3] -> mean 4 (not diluted by pad zeros)
     assert got == {(1, 0): [8.0], (2, 0): [4.0]}
+
+
+class _LenTextEncoder:
+    def __call__(self, texts):
+        import numpy as np
+
+        return np.array([[float(len(t))] for t in texts])
+
+
+def _len_text_factory():
+    return _LenTextEncoder()
+
+
+def _ids_decoder():
+    return lambda ids: " ".join(str(int(i)) for i in ids)
+
+
+def test_text_encoder_with_prompt(spark):
+    from corpuslab.operators.chunks import PROFILES, encode_chunks
+
+    prof = PROFILES["InstructorEmbedding"]
+    df = spark.createDataFrame([(1, [7, 8])], "doc_id long, ids array<int>")
+    ch = chunk_windows(df, "ids", prof)
+    got = encode_chunks(ch, _len_text_factory, prof, decoder_factory=_ids_decoder).first().vector
+    assert got == [float(len(prof.prompt + "7 8 1"))]  # the T5-style end id 1 is part of the chunk

@@ -168,3 +168,13 @@ def test_content_key_blocks(spark):
     small = SRC.with_content_key(df, copies_per_block=3).collect()
     big = SRC.with_content_key(df).collect()
     assert sorted(r.doc_id for r in small) == sorted(r.doc_id for r in big) and len({r.doc_id for r in small}) == 9
+
+
+def test_reference_registry_entries(spark, scratch):
+    reg = SRC.reference_registry(scratch)
+    assert set(reg) == {"20_Newsgroups", "IMDB_Reviews", "Pt_Tweets_SA", "SMS_SPAM", "WELFake", "AG_News"}
+    assert reg["Pt_Tweets_SA"].sep == ";" and SRC.canonical_charset(reg["SMS_SPAM"].encoding) == "iso-8859-1"
+    imdb = reg["IMDB_Reviews"]
+    _write(imdb.path, "review,sentiment\ngood film,positive\ngood film,positive\nbad,negative\n")
+    df = SRC.load_dataset(spark, imdb)
+    assert df.count() == 2 and set(df.columns) == {"doc_id", "review", "label"}
