@@ -178,3 +178,21 @@ def test_reference_registry_entries(spark, scratch):
     _write(imdb.path, "review,sentiment\ngood film,positive\ngood film,positive\nbad,negative\n")
     df = SRC.load_dataset(spark, imdb)
     assert df.count() == 2 and set(df.columns) == {"doc_id", "review", "label"}
+
+
+def test_run_grid_from_registry(spark, scratch):
+    from corpuslab.plans.experiment import run_grid
+    from corpuslab.sources.results_io import read_results
+
+    spec = SRC.reference_registry(scratch)["IMDB_Reviews"]
+    lines = ["review,sentiment"] + [f"great film number {i} loved it,positive" for i in range(12)] + \
+            [f"awful boring film {i} hated it,negative" for i in range(12)]
+    _write(spec.path, "\n".join(lines) + "\n")
+    res = run_grid(spark, [spec], {"BoW": {}}, ["LogisticRegression"], n_splits=2,
+                   results_root=os.path.join(scratch, "res"))
+    rows = res.collect()
+    assert len(rows) == 2 and all(r.test_samples == 5 and r.train_samples == 19 for r in rows)
+    for r in rows:
+        assert 0.0 <= r.accuracy <= 1.0 and sum(map(sum, r.confusion_matrix)) == 5
+        assert sum(c.support for c in r.classification_report) == 5
+    assert read_results(spark, os.path.join(scratch, "res")).count() == 2
