@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.operators.joins import lookup_join
-from corpuslab.session import materialize, shuffle_partitions
+from corpuslab.session import materialize
 
 
 def global_positions(df: DataFrame, order_cols: list[str], name: str = "pos",
@@ -28,8 +28,11 @@ def global_positions(df: DataFrame, order_cols: list[str], name: str = "pos",
 
     ``order_cols`` must identify rows uniquely (ties would be ordered arbitrarily).
     """
-    n = num_partitions or shuffle_partitions(df.sparkSession)
-    ranged = (df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in order_cols])
+    keys = [F.col(c).asc_nulls_first() for c in order_cols]
+    # Without an explicit count AQE may merge adjacent ranges of a small table;
+    # merged partitions stay contiguous and in order, so positions stay exact.
+    ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys))
+    ranged = (ranged
                 .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order_cols])
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_mid", F.monotonically_increasing_id()))
