@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import bpe, decontam, embedding_dedup, html_extract, langid, pii, secret_scan, simhash, url_filter
+from corpuslab.llm import bpe, decontam, embedding_dedup, html_extract, langid, passage_dedup, pii, secret_scan, simhash, url_filter
 from corpuslab.llm.common import bounded_batches, read
 
 
@@ -52,6 +52,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.findings(read(spark, sf_dir, "documents")).where("is_secret").drop("is_secret")
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return passage_dedup.remove_repeats(read(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -62,7 +67,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_url_filter, op4_embedding_dedup, op5_language, op6_simhash, op7_secrets,
+QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_url_filter, op4_embedding_dedup, op5_language, op6_simhash, op7_secrets, op8_passages,
                                    op9_decontamination, op10_main_text)}
 
 ORACLES: dict[str, str] = {}
