@@ -261,8 +261,11 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, hot_entries: int = H
     """(kid, kh, first, count): runs of window starts, in bytes, whose ``length`` bytes start anywhere else too."""
     parsed = scratch_table(_parse(docs, length))
     triggers = parsed.groupBy("g").agg(F.count("*").alias("n"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi")).where("n > 1")
-    shared = scratch_table(parsed.join(triggers.select("g", (F.col("lo") != F.col("hi")).alias("mixed")), "g"))
+    # Written first: a join of two plain tables can split the rows of a very common trigger.
+    triggers = scratch_table(triggers.select("g", (F.col("lo") != F.col("hi")).alias("mixed")))
+    shared = scratch_table(parsed.join(triggers, "g"))
     drop_scratch(parsed)
+    drop_scratch(triggers)
     mixed = shared.where("mixed")
     # The dictionary entries of mixed triggers, each with one carrier.
     entries = scratch_table(mixed.groupBy("g", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("kid", "kh", "first", "count")).alias("at"))
