@@ -28,7 +28,7 @@ from corpuslab.llm.simhash import local_roots
 
 THRESHOLD = 0.9
 #: Rows a cell is meant to hold, and from which on it is dealt over several tasks.
-CELL_ROWS = 2048
+CELL_ROWS = 16384
 MAX_CELLS = 4096
 FIT_ROWS = 20_000
 SEED = 7
@@ -117,17 +117,16 @@ def assign_cells(units: DataFrame, centres: np.ndarray, threshold: float) -> Dat
 
 
 def _compare(table: pa.Table, threshold: float) -> pa.RecordBatch:
-    """One dealt share: counts of links per vector, and its least connected node there."""
+    """One dealt share: counts of links per vector, and one node for all that are connected there."""
     dim = len(table.column("unit")[0])
-    node = table.column("node").to_numpy()
-    order = np.argsort(node, kind="stable")
-    node = node[order]
+    order = np.argsort(~table.column("home").to_numpy(zero_copy_only=False), kind="stable")  # visitors last
+    node = table.column("node").to_numpy()[order]
     x = _matrix(table.column("unit").combine_chunks(), dim)[order]
     copies, home, own = (table.column(c).to_numpy(zero_copy_only=False)[order] for c in ("copies", "home", "own"))
     cross = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
     n_links = np.zeros(len(x), np.int64)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a in range(0, len(x), BLOCK):
+    for a in range(0, int(home.sum()), BLOCK):  # blocks of visitors only are not compared
         for b in range(a, len(x), BLOCK):
             near = x[a:a + BLOCK] @ x[b:b + BLOCK].T >= threshold
             if a == b:
@@ -149,7 +148,7 @@ def _compare(table: pa.Table, threshold: float) -> pa.RecordBatch:
 
 
 def near_links(units: DataFrame, centres: np.ndarray, threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(node, n, root) per share: linked copies found there, and the least node connected there."""
+    """(node, n, root) per share: linked copies found there, and a node it is connected with there."""
     cells = assign_cells(units, centres, threshold) if len(centres) > 1 else units.select(
         "node", "unit", "copies", F.lit(0).alias("cell"), F.lit(True).alias("home"))
     cells = scratch_table(cells)
