@@ -171,7 +171,7 @@ def findings(docs: DataFrame, labelled: DataFrame | None = None, fit_rows: int =
         model = Pipeline(stages=[
             VectorAssembler(inputCols=FEATURES, outputCol="features"),
             RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED),
-        ]).fit(sample.repartitionByRange(4, "label", "entropy", "transitions"))
+        ]).fit(sample.coalesce(8))
         rows = model.transform(rows)
         score = vector_to_array("probability")[1]
     else:

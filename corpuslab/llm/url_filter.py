@@ -126,7 +126,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, fit_rows: int = FIT_ROWS, trees:
         model = Pipeline(stages=[
             VectorAssembler(inputCols=FEATURES, outputCol="features"),
             GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, seed=SEED),
-        ]).fit(sample.withColumn("weight", weight).repartitionByRange(8, "label", "entropy", "url_len"))
+        ]).fit(sample.withColumn("weight", weight).coalesce(8))
         rows = model.transform(rows)
         chance = vector_to_array("probability")[1]
     else:
