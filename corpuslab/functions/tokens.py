@@ -53,7 +53,7 @@ def word_tokens(c: Column) -> Column:
 
 def is_stop_word(w: Column, stop_words: list[str] | None = None) -> Column:
     # A literal IN list becomes a hash-set lookup (InSet) after optimisation.
-    return F.lower(w).isin(stop_words or ENGLISH_STOP_WORDS)
+    return F.lower(w).isin(ENGLISH_STOP_WORDS if stop_words is None else stop_words)
 
 
 def vectorizer_tokens(c: Column, stop_words: list[str] | None = None) -> Column:

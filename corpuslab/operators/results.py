@@ -95,8 +95,14 @@ def metric_means(df: DataFrame, metrics: list[str] | None = None) -> DataFrame:
 
 
 def metric_pivot(df: DataFrame, vectorizers: list[str], metric: str = "f1_score") -> DataFrame:
-    """Rows (dataset, model), one column per vectoriser name (given, so no extra pass), mean metric."""
-    return df.groupBy("dataset_name", "model_name").pivot("vectorizer_name", vectorizers).agg(F.avg(metric))
+    """Rows (dataset, model), one column per vectoriser name (given, so no extra pass), mean metric.
+
+    A name that is not listed raises: it would have no column.
+    """
+    name = F.col("vectorizer_name")
+    listed = F.when(name.isNull() | name.isin(vectorizers), name).otherwise(F.raise_error(F.concat(F.lit("vectoriser not listed: "), name)))
+    return (df.withColumn("vectorizer_name", listed.cast("string")).groupBy("dataset_name", "model_name")
+              .pivot("vectorizer_name", vectorizers).agg(F.avg(metric)))
 
 
 def box_stats(df: DataFrame, value: str, keys: list[str], approx: bool = False,

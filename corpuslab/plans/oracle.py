@@ -62,12 +62,11 @@ NGRAMS = f"""
 SELECT ngram, count(*) AS n FROM (
   SELECT unnest(list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1])) AS ngram
   FROM {DEFAULT_TOKENS} WHERE len(tokens) >= 2)
-GROUP BY ngram HAVING count(*) >= 2"""
+GROUP BY ngram"""
 
 # ------------------------------------------------------------ vectorisers
 
-LABELLED_TF = f"""
-corpus AS (SELECT d.doc_id, d.text, l.quality AS label FROM documents d JOIN labels l USING (doc_id)),
+_TF = f"""
 toks AS (SELECT doc_id, label, {S.analyzer_tokens(S.vectorizer_tokens(CLEAN_DEFAULT))} AS tokens FROM corpus),
 tf AS (SELECT doc_id, label, term, count(*) AS tf FROM (SELECT doc_id, label, unnest(tokens) AS term FROM toks)
        GROUP BY doc_id, label, term),
@@ -78,23 +77,26 @@ idf AS (SELECT term, term_id, ln((1 + n.n) / (1 + df)) + 1 AS idf FROM vocab, n)
 w0 AS (SELECT tf.doc_id, tf.label, idf.term_id, tf.term, tf.tf * idf.idf AS w FROM tf JOIN idf USING (term)),
 w AS (SELECT doc_id, label, term_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w0)"""
 
-BOW_VOCABULARY = f"WITH {LABELLED_TF} SELECT term, CAST(term_id AS BIGINT) AS term_id, CAST(df AS BIGINT) AS df, CAST(cf AS BIGINT) AS cf FROM vocab"
+LABELLED_TF = f"corpus AS (SELECT d.doc_id, d.text, l.quality AS label FROM documents d JOIN labels l USING (doc_id)), {_TF}"
+ALL_TF = f"corpus AS (SELECT doc_id, text, NULL AS label FROM documents), {_TF}"
 
-BOW_VOCABULARY_LIMITED = f"""WITH {LABELLED_TF},
+BOW_VOCABULARY = f"WITH {ALL_TF} SELECT term, CAST(term_id AS BIGINT) AS term_id, CAST(df AS BIGINT) AS df, CAST(cf AS BIGINT) AS cf FROM vocab"
+
+BOW_VOCABULARY_LIMITED = f"""WITH {ALL_TF},
 kept AS (SELECT * FROM stats WHERE df >= 2 AND df <= 0.5 * (SELECT n FROM n)),
 top AS (SELECT * FROM kept QUALIFY row_number() OVER (ORDER BY cf DESC, term) <= 500)
 SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id, CAST(df AS BIGINT) AS df,
        CAST(cf AS BIGINT) AS cf FROM top"""
 
-BOW_COUNTS = f"""WITH {LABELLED_TF}
+BOW_COUNTS = f"""WITH {ALL_TF}
 SELECT tf.doc_id, CAST(vocab.term_id AS BIGINT) AS term_id, CAST(tf.tf AS BIGINT) AS count
 FROM tf JOIN vocab USING (term)
 UNION ALL
 SELECT doc_id, CAST(NULL AS BIGINT), CAST(0 AS BIGINT) FROM corpus WHERE doc_id NOT IN (SELECT doc_id FROM tf)"""
 
-TFIDF_IDF = f"WITH {LABELLED_TF} SELECT term, {S.r6('idf')} AS idf FROM idf"
+TFIDF_IDF = f"WITH {ALL_TF} SELECT term, {S.r6('idf')} AS idf FROM idf"
 
-TFIDF_WEIGHTS = f"WITH {LABELLED_TF} SELECT doc_id, CAST(term_id AS BIGINT) AS term_id, {S.r6('weight')} AS weight FROM w"
+TFIDF_WEIGHTS = f"WITH {ALL_TF} SELECT doc_id, CAST(term_id AS BIGINT) AS term_id, {S.r6('weight')} AS weight FROM w"
 
 TFIDF_TOP_TERMS = f"""WITH {LABELLED_TF},
 means AS (SELECT label, term, {S.r6('avg(weight)')} AS mean_weight, count(*) AS n_docs FROM w GROUP BY label, term)

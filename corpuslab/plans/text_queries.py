@@ -89,18 +89,19 @@ def token_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus frequency of word bigrams seen at least twice."""
+    """Corpus frequency of every word bigram."""
     t = _default_tokens(spark, sf_dir)
     gen, keep = K.explode_items(K.ngrams(F.col("tokens"), 2), "ngram")
     grams = t.select(gen).filter(keep)
-    return (grams.groupBy("ngram").agg(F.count(F.lit(1)).cast("long").alias("n"))
-                 .filter(F.col("n") >= 2))
+    return grams.groupBy("ngram").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
 # ---------------------------------------------------------------- vectorisers
 
-def _labelled_tf(spark: SparkSession, sf_dir: str, min_df=1, max_df=1.0, max_features=None):
-    corpus = labelled_corpus(spark, sf_dir)
+def _corpus_tf(spark: SparkSession, sf_dir: str, min_df=1, max_df=1.0, max_features=None, labelled=False):
+    """(corpus, term frequencies, vocabulary) of all documents, or of the labelled ones with their label."""
+    corpus = labelled_corpus(spark, sf_dir) if labelled else documents(spark, sf_dir).select(
+        "doc_id", "text", F.lit(None).cast("int").alias("label"))
     cleaned = clean(corpus, T.DEFAULT_STAGES, cols=["text"])
     toks = cleaned.select("doc_id", "label",
                           K.analyzer_tokens(K.vectorizer_tokens(F.col("text"))).alias("tokens"))
@@ -113,33 +114,33 @@ def _labelled_tf(spark: SparkSession, sf_dir: str, min_df=1, max_df=1.0, max_fea
 
 
 def bow_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full vocabulary of the labelled corpus, alphabetical ids."""
-    _, _, vocab = _labelled_tf(spark, sf_dir)
+    """Full vocabulary of the corpus, alphabetical ids."""
+    _, _, vocab = _corpus_tf(spark, sf_dir)
     return vocab.table.select("term", F.col("term_id").cast("long").alias("term_id"), "df", "cf")
 
 
 def bow_vocabulary_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1a with the configured limits: min_df=2, max_df=0.5, max_features=500."""
-    _, _, vocab = _labelled_tf(spark, sf_dir, min_df=2, max_df=0.5, max_features=500)
+    _, _, vocab = _corpus_tf(spark, sf_dir, min_df=2, max_df=0.5, max_features=500)
     return vocab.table.select("term", F.col("term_id").cast("long").alias("term_id"), "df", "cf")
 
 
 def bow_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse counts; documents with no known term keep a zero row."""
-    corpus, tf, vocab = _labelled_tf(spark, sf_dir)
+    corpus, tf, vocab = _corpus_tf(spark, sf_dir)
     out = count_vectors(tf, vocab, docs=corpus)
     return out.select("doc_id", F.col("term_id").cast("long").alias("term_id"), "count")
 
 
 def tfidf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothed idf per term."""
-    _, _, vocab = _labelled_tf(spark, sf_dir)
+    _, _, vocab = _corpus_tf(spark, sf_dir)
     return fit_idf(vocab).select("term", r6(F.col("idf")).alias("idf"))
 
 
 def tfidf_weights_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2-normalised tf-idf cells."""
-    _, tf, vocab = _labelled_tf(spark, sf_dir)
+    _, tf, vocab = _corpus_tf(spark, sf_dir)
     w = tfidf_weights(tf, fit_idf(vocab), vocab.size)
     return w.select("doc_id", F.col("term_id").cast("long").alias("term_id"), r6(F.col("weight")).alias("weight"))
 
@@ -152,7 +153,7 @@ def tfidf_top_terms(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     per-partition group limit before the shuffle, so at most k rows per class
     and partition cross the network.
     """
-    _, tf, vocab = _labelled_tf(spark, sf_dir)
+    _, tf, vocab = _corpus_tf(spark, sf_dir, labelled=True)
     w = tfidf_weights(tf, fit_idf(vocab), vocab.size, carry=("label",))
     means = (w.groupBy("label", "term")
               .agg(r6(F.avg("weight")).alias("mean_weight"), F.count(F.lit(1)).cast("long").alias("n_docs")))
@@ -171,12 +172,12 @@ def dedup_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reunite_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IO2/L2: two halves with different columns re-united by name, then deduplicated."""
+    from corpuslab.sources.corpus import reunite
+
     docs = documents(spark, sf_dir)
     part_a = docs.filter(F.col("lang").isin("en", "fr")).select("doc_id", "text", "lang")
     part_b = docs.filter(~F.col("lang").isin("en", "fr")).select("doc_id", "text", "lang", "source")
-    both = part_a.unionByName(part_b, allowMissingColumns=True)
-    kept = dedup_rows(both, key="doc_id")
-    return kept.select("doc_id", "lang", "source", F.md5("text").alias("text_md5"))
+    return reunite([part_a, part_b]).select("doc_id", "lang", "source", F.md5("text").alias("text_md5"))
 
 
 def labelled_corpus_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,7 +178,7 @@ def chunk_to_doc_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _IDS_SQL = f"""ids AS (SELECT doc_id, list_transform(CASE WHEN sq = '' THEN []::VARCHAR[] ELSE string_split(sq, ' ') END,
-                  lambda w: 1000 + ('0x' || substr(md5(w), 1, 4))::INTEGER) AS ids
+                  lambda w: 1000 + ('0x' || substr(md5(w), 1, 7))::INTEGER) AS ids
         FROM (SELECT doc_id, {S.squash('lower(text)')} AS sq FROM documents)),
 kk AS (SELECT doc_id, ids, CASE WHEN len(ids) <= 62 THEN 1
                                ELSE 1 + CAST(ceil(CAST(len(ids) - 62 AS DOUBLE) / 62) AS INTEGER) END AS k FROM ids),

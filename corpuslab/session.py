@@ -42,8 +42,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Reliable checkpoints go to the cluster's ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) do we pick a fresh
-    scratch folder; a cluster is expected to name a shared one.
+    Only a local session without one (tests) gets a fresh scratch folder;
+    on a cluster a missing folder raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="corpuslab-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path

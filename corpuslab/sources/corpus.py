@@ -49,7 +49,9 @@ def with_content_key(df: DataFrame, key: str = "doc_id", copies_per_block: int =
     lo = F.col("_blk") * b
     hi = F.least(F.col("_copies"), lo + b) - 1
     expanded = blocks.select(*cols, F.explode(F.sequence(lo, hi)).alias("_dup"))
-    return expanded.select(F.xxhash64(*cols, "_dup").alias(key), *cols)
+    # The hash skips nulls, so each column comes with its null mark.
+    marked = [x for c in cols for x in (F.col(c).isNull(), F.col(c))]
+    return expanded.select(F.xxhash64(*marked, "_dup").alias(key), *cols)
 
 
 def read_labelled_csv(spark: SparkSession, path: str | list[str], target: str, encoding: str = "utf-8",
@@ -74,7 +76,7 @@ def reunite(parts: list[DataFrame], dedup: bool = True, key: str = "doc_id") ->
     for p in parts[1:]:
         df = df.unionByName(p, allowMissingColumns=True)
     if dedup:
-        df = df.dropDuplicates() if key in df.columns else df.distinct()
+        df = dedup_rows(df, key)  # the key is no content: of equal rows the smallest key stays
     return df if key in df.columns else with_content_key(df, key)
 
 
@@ -101,9 +103,12 @@ def read_labelled_directory(spark: SparkSession, root: str, categories: list[str
     return df.select("doc_id", text_col, "label", "split")
 
 
-def read_word_vectors(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
+def read_word_vectors(spark: SparkSession, path: str, dim: int | None = None, drop_malformed: bool = False) -> DataFrame:
     """IO6: text lines ``word f1 f2 ...``; for a repeated word the last line wins.
 
+    With ``dim`` a word whose winning line has another length raises, or is
+    left out on ``drop_malformed``.
+
     Line order = (file, block start, position inside the block's task).
     """
     raw = spark.read.text(path).select(
@@ -113,9 +118,14 @@ def read_word_vectors(spark: SparkSession, path: str, dim: int | None = None) ->
     rows = raw.select(F.element_at(parts, 1).alias("word"),
                       F.slice(parts, 2, F.size(parts) - 1).cast("array<float>").alias("vector"), "_f", "_b", "_i")
     rows = rows.filter((F.col("word").isNotNull()) & (F.col("word") != ""))
-    if dim is not None:
-        rows = rows.filter(F.size("vector") == dim)
-    return rows.groupBy("word").agg(F.max_by("vector", F.struct("_f", "_b", "_i")).alias("vector"))
+    last = rows.groupBy("word").agg(F.max_by("vector", F.struct("_f", "_b", "_i")).alias("vector"))
+    if dim is None:
+        return last
+    fits = F.size("vector") == dim
+    if drop_malformed:
+        return last.filter(fits)
+    return last.select("word", F.when(fits, F.col("vector")).otherwise(
+        F.raise_error(F.concat(F.lit("vector of another length: "), F.col("word"))).cast("array<float>")).alias("vector"))
 
 
 @dataclass
