@@ -214,3 +214,74 @@ def test_text_encoder_with_prompt(spark):
     ch = chunk_windows(df, "ids", prof)
     got = encode_chunks(ch, _len_text_factory, prof, decoder_factory=_ids_decoder).first().vector
     assert got == [float(len(prof.prompt + "7 8 1"))]  # the T5-style end id 1 is part of the chunk
+
+
+def test_null_labels_count_as_wrong(spark):
+    from corpuslab.operators import evaluate as E
+
+    pred = spark.createDataFrame([(1, 1), (0, 0), (None, 1), (None, 0), (1, None)], "label int, prediction int")
+    cells = E.confusion_cells(pred)
+    assert cells.count() == 9
+    acc = E.accuracy(cells).first()
+    assert (acc.n, round(acc.accuracy, 6)) == (5, 0.4)
+    rep = {r.label: (r.support, round(r.recall, 6)) for r in E.class_report(cells).collect()}
+    assert rep == {None: (2, 0.0), 0: (1, 1.0), 1: (2, 0.5)}
+
+
+def test_allocation_beyond_long(spark):
+    from corpuslab.operators.splits import allocate_train_counts
+
+    # Two classes given as counts far beyond what LONG products hold.
+    class Counted:
+        def groupBy(self, col):  # noqa: N802
+            return self
+
+        def agg(self, _):
+            return spark.createDataFrame([("a", 6 * 10 ** 10), ("b", 4 * 10 ** 10 + 1)], "label string, n_c long")
+
+    n = 10 ** 11 + 1
+    got = {r.label: r.n_train_c for r in allocate_train_counts(Counted(), "label", n, 8 * 10 ** 10).collect()}
+    assert sum(got.values()) == 8 * 10 ** 10
+    assert abs(got["a"] - 48 * 10 ** 9) <= 1
+
+
+def test_empty_stop_list_keeps_all(spark):
+    from corpuslab.functions import tokens as K
+
+    df = spark.createDataFrame([("the cat is here",)], "text string")
+    assert df.select(K.vectorizer_tokens(F.col("text"), [])).first()[0] == ["the", "cat", "is", "here"]
+
+
+def test_unlisted_pivot_name_raises(spark):
+    from corpuslab.operators.results import metric_pivot
+
+    df = spark.createDataFrame([("d", "m", "BoW", 0.5), ("d", "m", "Own", 0.7)], "dataset_name string, model_name string, vectorizer_name string, f1_score double")
+    with pytest.raises(Exception, match="not listed"):
+        metric_pivot(df, ["BoW"]).collect()
+
+
+def test_reunite_dedups_keyed_rows_and_null_safe_keys(spark):
+    from corpuslab.sources import corpus as SRC
+
+    a = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in SRC.reunite([a]).collect()) == [1, 3]
+    b = spark.createDataFrame([("a", None), (None, "a")], "p string, q string")
+    assert len({r.doc_id for r in SRC.with_content_key(b).collect()}) == 2
+
+
+def test_doc2vec_separates_topics(spark):
+    import numpy as np
+
+    from corpuslab.operators.doc2vec import Doc2Vec
+
+    rng = np.random.default_rng(0)
+    rows = [(i, [f"{'ab'[i % 2]}{k}" for k in rng.integers(0, 30, 120)]) for i in range(120)]
+    model = Doc2Vec(vector_size=24, min_count=1, epochs=30, seed=1, num_partitions=1, alpha=0.05).fit(
+        spark.createDataFrame(rows, "doc_id long, tokens array<string>"))
+    for got in (model.doc_vectors, model.infer(spark.createDataFrame(rows, "doc_id long, tokens array<string>"))):
+        v = {r.doc_id: np.array(r.vector) for r in got.collect()}
+        x = np.stack([v[i] / np.linalg.norm(v[i]) for i in range(120)])
+        cos = x @ x.T
+        same = cos[::2, ::2][~np.eye(60, dtype=bool)].mean()
+        cross = cos[::2, 1::2].mean()
+        assert same > cross + 0.1, (same, cross)

@@ -51,7 +51,7 @@ def test_directory_source_and_registry(spark, scratch):
 def test_word_vectors_last_line_wins(spark, scratch):
     p = os.path.join(scratch, "vec.txt")
     _write(p, "cat 1 2\ndog 3 4\ncat 5 6\nbad 1\n")
-    got = {r.word: list(r.vector) for r in SRC.read_word_vectors(spark, p, dim=2).collect()}
+    got = {r.word: list(r.vector) for r in SRC.read_word_vectors(spark, p, dim=2, drop_malformed=True).collect()}
     assert got == {"cat": [5.0, 6.0], "dog": [3.0, 4.0]}
 
 
@@ -108,7 +108,14 @@ def test_encoder_vectorizer_and_combine(spark, small_split):
     from corpuslab.operators import vectorizers as V
 
     train, _ = small_split
-    enc = V.fit_vectorizer("GPT2", train).transform(train).withColumnRenamed("features", "f_enc")
+    from corpuslab.operators import chunks as CH
+
+    with pytest.raises(ValueError, match="encoder_factory and tokenizer"):
+        V.fit_vectorizer("GPT2", train)  # no network comes with the library, and none is made up
+    params = {"encoder_factory": CH.lookup_encoder_factory, "tokenizer": CH.hashed_token_ids}
+    with pytest.raises(ValueError, match="decoder_factory"):
+        V.fit_vectorizer("InstructorEmbedding", train, params)
+    enc = V.fit_vectorizer("GPT2", train, params).transform(train).withColumnRenamed("features", "f_enc")
     bow = V.fit_vectorizer("BoW", train, {"max_features": 50}).transform(enc).withColumnRenamed("features", "f_bow")
     both = V.combine_columns(bow, ["f_enc", "f_bow"])
     assert both.first().features.size == 3 + 50
