@@ -184,7 +184,7 @@ def test_simhash_links_with_hot_blocks(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 6)
     fps = sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 6), replace=False)) for b in base for _ in range(60)})
-    fps = [f - (1 << 64) if f >> 63 else f for f in fps]
+    fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
     want = simhash.local_roots(len(fps), *np.nonzero(np.bitwise_count((u := np.array(fps).view(np.uint64))[:, None] ^ u[None]) <= 3))
     for cell_rows in (8, 4096):
