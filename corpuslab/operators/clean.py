@@ -64,7 +64,7 @@ def clean(df: DataFrame, stages: list[str], cols: list[str] | None = None,
             if lexicon is None:
                 raise ValueError("lemmatization_eng needs a lexicon table (word STRING)")
             for c in cols:
-                df = lemmatize_text(df, c, lexicon, exceptions, key=key)
+                df = lemmatize_text(df, c, lexicon, exceptions)
     return flush(df)
 
 

@@ -4,8 +4,8 @@ Token tables are skewed by nature: a frequent word appears in almost
 every document, so a plain shuffle join on ``term`` would send a third of
 all rows to one task. Two exact strategies:
 
-* broadcast the lookup side - only after its row count is *measured* and
-  found under ``max_broadcast_rows``;
+* broadcast the lookup side - only after its rows and bytes are *measured*
+  and found under ``max_broadcast_rows`` and ``max_broadcast_bytes``;
 * otherwise a salted shuffle join: each big-side row gets one of
   ``salt_buckets`` salts from a hash of its own columns, and the lookup
   side is copied once per salt, so a hot key spreads over many tasks.
@@ -15,10 +15,14 @@ AQE's skew-join split stays on as a second line of defence.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType
 
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+DEFAULT_MAX_BROADCAST_BYTES = 512 << 20
+#: What a row weighs beside its texts and arrays.
+ROW_BYTES = 32
 DEFAULT_SALT_BUCKETS = 32
 
 
@@ -29,21 +33,46 @@ def _conf_int(df: DataFrame, key: str, default: int) -> int:
         return default
 
 
+def _bytes(c: Column, t: DataType) -> Column:
+    if isinstance(t, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    if isinstance(t, ArrayType) and isinstance(t.elementType, (StringType, ArrayType)):
+        each = F.transform(c, lambda x: _bytes(x, t.elementType))
+        return F.coalesce(F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x + 8), F.lit(0).cast("long"))
+    if isinstance(t, ArrayType):
+        return F.greatest(F.size(c), F.lit(0)).cast("long") * 8
+    return F.lit(8).cast("long")
+
+
+def measure(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a lookup table, in one pass over it."""
+    row = F.lit(ROW_BYTES).cast("long")
+    for f in df.schema.fields:
+        row = row + _bytes(F.col(f"`{f.name}`"), f.dataType)
+    n, b = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row), F.lit(0))).first()
+    return n, b
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "inner",
                 small_rows: int | None = None, max_broadcast_rows: int | None = None,
-                salt_buckets: int | None = None) -> DataFrame:
+                salt_buckets: int | None = None, max_broadcast_bytes: int | None = None) -> DataFrame:
     """Join ``big`` to a keyed lookup ``small`` without trusting key balance.
 
     ``how`` must keep ``big`` on the left: inner, left, left_semi, left_anti.
-    ``small_rows`` may be passed when the caller already knows the count.
+    ``small_rows`` may be passed when the caller already knows the count and
+    a row is no more than a word and a few numbers; otherwise ``small`` is
+    measured, so hand over a table that is cheap to read twice (checkpointed,
+    if much work is behind it).
     """
     on = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join keeps the big side on the left; got how={how!r}")
     limit = max_broadcast_rows if max_broadcast_rows is not None else _conf_int(
         big, "corpuslab.broadcast.maxRows", DEFAULT_MAX_BROADCAST_ROWS)
-    n = small_rows if small_rows is not None else small.count()
-    if n <= limit:
+    byte_limit = max_broadcast_bytes if max_broadcast_bytes is not None else _conf_int(
+        big, "corpuslab.broadcast.maxBytes", DEFAULT_MAX_BROADCAST_BYTES)
+    n, size = (small_rows, 0) if small_rows is not None else measure(small)
+    if n <= limit and size <= byte_limit:
         return big.join(F.broadcast(small), on, how)
     buckets = salt_buckets or _conf_int(big, "corpuslab.join.saltBuckets", DEFAULT_SALT_BUCKETS)
     others = [c for c in big.columns if c not in on] or on

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions.text import squash
 from corpuslab.functions.tokens import posexplode_items
 from corpuslab.operators.joins import lookup_join
+from corpuslab.session import materialize
 
 # Noun detachment rules (suffix, replacement), in rule order.
 NOUN_RULES = [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"),
@@ -57,25 +58,39 @@ def lemma_map(words: DataFrame, lexicon: DataFrame, exceptions: DataFrame | None
 
 def lemmatize_tokens(rows: DataFrame, term_col: str, lexicon: DataFrame,
                      exceptions: DataFrame | None = None) -> DataFrame:
-    """Replace ``term_col`` of exploded token rows by its lemma."""
+    """Replace ``term_col`` of exploded token rows by its lemma.
+
+    ``rows`` is read for its distinct words and again for the join; the map
+    between is built once and checkpointed.
+    """
     words = rows.select(F.col(term_col).alias("word"))
-    m = lemma_map(words, lexicon, exceptions).withColumnRenamed("word", term_col)
+    m = materialize(lemma_map(words, lexicon, exceptions).withColumnRenamed("word", term_col))
     return (lookup_join(rows, m, term_col)
             .withColumn(term_col, F.col("lemma")).drop("lemma"))
 
 
-def lemmatize_text(df: DataFrame, col: str, lexicon: DataFrame, exceptions: DataFrame | None = None,
-                   key: str = "doc_id") -> DataFrame:
+def lemmatize_arrays(df: DataFrame, col: str, lexicon: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """Every word of the ``array<string>`` column ``col`` replaced by its lemma, order kept.
+
+    The rows are checkpointed under a row number of their own, so what made
+    them runs once, and null or repeated keys keep their rows apart. A group
+    is one row's words. A null array stays null, an empty one empty.
+    """
+    base = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    gen, keep = posexplode_items(F.col(col), "_pos", "_word")
+    rows = base.select("_row", gen).filter(keep & F.col("_word").isNotNull())
+    lem = lemmatize_tokens(rows, "_word", lexicon, exceptions)
+    words = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_word"))), lambda s: s["_word"])
+    joined = lem.groupBy("_row").agg(words.alias("_lem"))
+    empty = F.array().cast("array<string>")
+    return (base.join(joined, "_row", "left")
+                .withColumn(col, F.when(F.col(col).isNotNull(), F.coalesce("_lem", empty))).drop("_row", "_lem"))
+
+
+def lemmatize_text(df: DataFrame, col: str, lexicon: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
     """Split ``col`` on white space, lemma per word (case kept), re-join with blanks.
 
-    Words are re-assembled per document (a group bounded by one document's
-    length); null text stays null, empty text stays empty.
+    Null text stays null, empty text stays empty.
     """
-    gen, keep = posexplode_items(F.split(squash(F.col(col)), " "), "pos", "word")
-    words = df.select(key, gen).filter(keep)
-    lem = lemmatize_tokens(words, "word", lexicon, exceptions)
-    joined = lem.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]),
-                     " ").alias("_lem"))
-    out = df.join(joined, key, "left")
-    return out.withColumn(col, F.when(F.col(col).isNull(), F.lit(None)).otherwise(F.col("_lem"))).drop("_lem")
+    words = df.withColumn(col, F.split(squash(F.col(col)), " "))
+    return lemmatize_arrays(words, col, lexicon, exceptions).withColumn(col, F.array_join(col, " ")).select(*df.columns)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+# The result table's column names and summary tags.
 METRICS = ["accuracy", "precision", "recall", "f1_score"]
 GROUP_KEYS = ["dataset_name", "model_name", "vectorizer_name"]
 SUMMARY_TAGS = ["MEAN", "STD"]
@@ -105,6 +106,12 @@ def metric_pivot(df: DataFrame, vectorizers: list[str], metric: str = "f1_score"
               .pivot("vectorizer_name", vectorizers).agg(F.avg(metric)))
 
 
+def long_metrics(df: DataFrame, keys: list[str], metrics: list[str] | None = None) -> DataFrame:
+    """``(*keys, metric, value)``: one row per result row and metric, so one pass serves them all."""
+    cells = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics or METRICS]
+    return df.select(*keys, F.inline(F.array(*cells)))
+
+
 def box_stats(df: DataFrame, value: str, keys: list[str], approx: bool = False,
               accuracy: int = 10000) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and outlier count per group.
@@ -123,8 +130,11 @@ def box_stats(df: DataFrame, value: str, keys: list[str], approx: bool = False,
     lo = F.col("q1") - 1.5 * F.col("iqr")
     hi = F.col("q3") + 1.5 * F.col("iqr")
     # Quartiles are one row per group; joining them back is a keyed lookup.
+    # Checkpointed, as the join's size check and both joins below read them.
     from corpuslab.operators.joins import lookup_join
+    from corpuslab.session import materialize
 
+    quart = materialize(quart)
     joined = lookup_join(df.select(*keys, value).filter(F.col(value).isNotNull()), quart, keys)
     inside = (F.col(value) >= lo) & (F.col(value) <= hi)
     fences = joined.groupBy(*keys).agg(

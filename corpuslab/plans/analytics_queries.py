@@ -115,6 +115,40 @@ def results_boxstats(spark, sf_dir):
     return _round_cols(b, BOX_COLS)
 
 
+BOX_GROUPINGS = {
+    "boxstats_model_vectorizer": ["model_name", "vectorizer_name"],
+    "boxstats_dataset_vectorizer": ["dataset_name", "vectorizer_name"],
+    "boxstats_dataset": ["dataset_name"],
+    "boxstats_dataset_model": ["dataset_name", "model_name"],
+}
+
+
+def _boxstats(name: str):
+    keys = BOX_GROUPINGS[name]
+
+    def run(spark, sf_dir):
+        rows = R.long_metrics(clean_results_df(spark, sf_dir), keys)
+        return _round_cols(R.box_stats(rows, "value", keys + ["metric"]), BOX_COLS)
+    run.__name__ = name
+    run.__doc__ = f"R4: box statistics of all four metrics by {', '.join(keys)}."
+    return run
+
+
+def results_table(spark, sf_dir):
+    """IO7-IO9: the result rows appended to a partitioned table and read back from it."""
+    from uuid import uuid4
+
+    from corpuslab.session import ensure_checkpoint_dir
+    from corpuslab.sources.results_io import append_results, read_results
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/result-table-{uuid4().hex}"
+    rows = clean_results_df(spark, sf_dir).withColumn("fold_number", F.col("fold_number").cast("int"))
+    append_results(rows, root)
+    back = read_results(spark, root).withColumn("fold_number", F.col("fold_number").cast("long"))
+    return _round_cols(back.select("dataset_name", "model_name", "vectorizer_name", "fold_number", *METRIC_COLS,
+                                   "total_vectorization_time"), METRIC_COLS)
+
+
 def time_boxstats(spark, sf_dir):
     """Vectorising-time box statistics by (dataset, vectoriser), linear and log10 scale."""
     t = R.time_rows(clean_results_df(spark, sf_dir))
@@ -146,6 +180,12 @@ def _box_select(keys: str, extra: str = "") -> str:
             f"n_outliers{extra} FROM q LEFT JOIN f USING ({keys})")
 
 
+def _boxstats_sql(name: str) -> str:
+    keys = ", ".join(BOX_GROUPINGS[name])
+    src = " UNION ALL ".join(f"SELECT {keys}, '{m}' AS metric, {m} AS v FROM {CLEAN_RESULTS_SQL}" for m in METRIC_COLS)
+    return (f"WITH src AS ({src}), " + _BOX_SQL.format(keys=f"{keys}, metric") + _box_select(f"{keys}, metric"))
+
+
 _M = ", ".join(f"{sr9(c)} AS {c}" for c in METRIC_COLS)
 _MEAN = ", ".join(f"{sr9('avg(' + c + ')')} AS {c}" for c in METRIC_COLS + ["fold_number", "total_vectorization_time"])
 _STD = ", ".join(f"{sr9('stddev_samp(' + c + ')')} AS {c}" for c in METRIC_COLS + ["fold_number", "total_vectorization_time"])
@@ -185,6 +225,9 @@ RESULTS_ORACLES = {
                      + ", lg AS (" + _box_select("dataset_name, vectorizer_name", ", 'log10' AS scale")
                        .replace("FROM q LEFT JOIN f", "FROM q2 LEFT JOIN f2") + ")"
                      + " SELECT * FROM lin UNION ALL SELECT * FROM lg",
+    **{name: _boxstats_sql(name) for name in BOX_GROUPINGS},
+    "results_table": f"""SELECT dataset_name, model_name, vectorizer_name, fold_number, {_M}, total_vectorization_time
+        FROM {CLEAN_RESULTS_SQL}""",
     "results_inventory": f"""SELECT dataset_name, array_to_string(list_sort(list_distinct(list(model_name))), ',') AS models,
         array_to_string(list_sort(list_distinct(list(vectorizer_name))), ',') AS vectorizers,
         CAST(count(*) AS BIGINT) AS n_rows FROM {CLEAN_RESULTS_SQL} GROUP BY dataset_name""",
@@ -359,6 +402,8 @@ QUERIES = {
     "results_pivot_f1": results_pivot_f1,
     "results_boxstats": results_boxstats,
     "time_boxstats": time_boxstats,
+    **{name: _boxstats(name) for name in BOX_GROUPINGS},
+    "results_table": results_table,
     "results_inventory": results_inventory,
     "stratified_splits": stratified_splits,
     "split_sizes": split_sizes,

@@ -16,11 +16,13 @@ from corpuslab.functions import text as T
 from corpuslab.functions import tokens as K
 from corpuslab.operators import chunks as CH
 from corpuslab.operators.clean import clean
-from corpuslab.operators.lemma import NOUN_RULES, lemma_map
+from corpuslab.operators.counts import fit_vocabulary, term_frequencies
+from corpuslab.operators.lemma import NOUN_RULES, lemma_map, lemmatize_arrays
 from corpuslab.operators.pooling import explode_vector, mean_pool
 from corpuslab.plans import sqlfrag as S
 from corpuslab.plans.inputs import documents, r6, rich_documents
-from corpuslab.plans.oracle import RICH
+from corpuslab.plans.oracle import CLEAN_DEFAULT, RICH
+from corpuslab.session import materialize
 
 # ------------------------------------------------------------------ lemmas
 
@@ -43,6 +45,26 @@ def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lemma_map(words, english_lexicon(spark, sf_dir))
 
 
+def _lemma_tokens(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    cleaned = clean(docs.select("doc_id", "text"), T.DEFAULT_STAGES, cols=["text"])
+    toks = cleaned.select("doc_id", K.vectorizer_tokens(F.col("text")).alias("tokens"))
+    return lemmatize_arrays(toks, "tokens", english_lexicon(spark, sf_dir))
+
+
+def tokens_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 + T3: the vectorisers' tokens with their lemmas, on the default-cleaned corpus."""
+    t = _lemma_tokens(spark, sf_dir, rich_documents(spark, sf_dir))
+    return t.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+def bow_vocabulary_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1a over lemmas."""
+    docs = documents(spark, sf_dir)
+    toks = materialize(_lemma_tokens(spark, sf_dir, docs).select("doc_id", K.analyzer_tokens(F.col("tokens")).alias("tokens")))
+    vocab = fit_vocabulary(term_frequencies(toks), docs.count())
+    return vocab.table.select("term", F.col("term_id").cast("long").alias("term_id"), "df", "cf")
+
+
 def clean_lemmatize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lowercase -> light punctuation -> lemmatization_eng, as one stage list."""
     docs = rich_documents(spark, sf_dir).select("doc_id", "text")
@@ -77,6 +99,24 @@ LEMMAS_SQL = f"""WITH vocab AS (SELECT DISTINCT unnest({_ALPHA_WORDS_SQL}) AS wo
 {_lemma_map_sql('vocab')}
 SELECT word, lemma FROM lmap"""
 
+def _lemma_tokens_sql(src: str) -> str:
+    return f"""t AS (SELECT doc_id, {S.vectorizer_tokens(CLEAN_DEFAULT)} AS toks FROM {src}),
+w AS (SELECT doc_id, unnest(toks) AS word, generate_subscripts(toks, 1) AS pos FROM t),
+vocab AS (SELECT DISTINCT word FROM w),
+{_lemma_map_sql('vocab')},
+lw AS (SELECT doc_id, pos, lemma FROM w JOIN lmap USING (word))"""
+
+
+TOKENS_LEMMA_SQL = f"""WITH {_lemma_tokens_sql(RICH)},
+j AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY pos) AS joined FROM lw GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(toks) AS BIGINT) AS n_tokens,
+       CASE WHEN toks IS NOT NULL THEN coalesce(joined, '') END AS tokens FROM t LEFT JOIN j USING (doc_id)"""
+
+BOW_VOCABULARY_LEMMA_SQL = f"""WITH {_lemma_tokens_sql('documents')},
+stats AS (SELECT lemma AS term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM lw WHERE length(lemma) >= 2 GROUP BY lemma)
+SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id, CAST(df AS BIGINT) AS df,
+       CAST(cf AS BIGINT) AS cf FROM stats"""
+
 CLEAN_LEMMATIZE_SQL = f"""WITH t AS (SELECT doc_id, {S.clean('text', ['lowercase', 'light_remove_punctuation'])} AS text
                                     FROM {RICH}),
 ws AS (SELECT doc_id, string_split(text, ' ') AS ws FROM t),
@@ -109,7 +149,7 @@ def _doc_terms(spark, sf_dir):
 def pretrained_doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4/T-avg: mean word vector per document over known words, zeros when none (long form)."""
     terms, docs = _doc_terms(spark, sf_dir)
-    vecs = corpus_word_vectors(terms)
+    vecs = materialize(corpus_word_vectors(terms))
     pooled = mean_pool(terms, vecs, WORD_VECTOR_DIM, docs=docs)
     long = explode_vector(pooled, "doc_id")
     return long.select("doc_id", F.col("dim").cast("long").alias("dim"), r6(F.col("value").cast("double")).alias("value"))
@@ -213,6 +253,8 @@ SELECT doc_id, CAST(dim AS BIGINT) AS dim, {S.r6('v')} AS value FROM (
 
 QUERIES = {
     "lemmas": lemmas,
+    "tokens_lemma": tokens_lemma,
+    "bow_vocabulary_lemma": bow_vocabulary_lemma,
     "clean_lemmatize": clean_lemmatize,
     "pretrained_doc_vectors": pretrained_doc_vectors,
     "chunk_windows": chunk_windows,
@@ -223,6 +265,8 @@ QUERIES = {
 
 ORACLES = {
     "lemmas": LEMMAS_SQL,
+    "tokens_lemma": TOKENS_LEMMA_SQL,
+    "bow_vocabulary_lemma": BOW_VOCABULARY_LEMMA_SQL,
     "clean_lemmatize": CLEAN_LEMMATIZE_SQL,
     "pretrained_doc_vectors": PRETRAINED_SQL,
     "chunk_windows": CHUNK_WINDOWS_SQL,

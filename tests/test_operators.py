@@ -285,3 +285,29 @@ def test_doc2vec_separates_topics(spark):
         same = cos[::2, ::2][~np.eye(60, dtype=bool)].mean()
         cross = cos[::2, 1::2].mean()
         assert same > cross + 0.1, (same, cross)
+
+
+def test_lookup_join_bounds_bytes(spark):
+    from corpuslab.operators.joins import lookup_join, measure
+
+    big = spark.createDataFrame([(i % 3, i) for i in range(30)], "k int, v int")
+    small = spark.createDataFrame([(k, [0.5] * 1000) for k in range(3)], "k int, vec array<float>")
+    n, size = measure(small)
+    assert n == 3 and size >= 3 * 1000 * 8
+    salted = lookup_join(big, small, "k", max_broadcast_bytes=1000)
+    assert "_salt" in salted._jdf.queryExecution().toString()
+    assert salted.count() == 30 and lookup_join(big, small, "k").count() == 30
+    assert measure(small.limit(0)) == (0, 0)
+
+
+def test_term_frequencies_counts_inside_rows(spark):
+    from collections import Counter
+
+    from corpuslab.operators.counts import term_frequencies
+
+    rows = [(1, ["b", "a", "b", None, "", "b"]), (2, []), (3, None), (4, ["é", "e", "é"])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    tf = term_frequencies(docs)
+    want = {(d, t, n) for d, ts in rows for t, n in Counter(x for x in ts or [] if x is not None).items()}
+    assert {tuple(r) for r in tf.collect()} == want
+    assert "Exchange" not in tf._jdf.queryExecution().executedPlan().toString()

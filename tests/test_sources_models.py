@@ -203,3 +203,47 @@ def test_run_grid_from_registry(spark, scratch):
         assert 0.0 <= r.accuracy <= 1.0 and sum(map(sum, r.confusion_matrix)) == 5
         assert sum(c.support for c in r.classification_report) == 5
     assert read_results(spark, os.path.join(scratch, "res")).count() == 2
+
+
+def test_grid_keeps_rows_of_finished_cells_and_goes_on(spark, scratch):
+    from corpuslab.operators import vectorizers as V
+    from corpuslab.plans.experiment import run_experiment
+    from corpuslab.sources.results_io import read_results
+
+    corpus = spark.createDataFrame([(i, f"{'good fine' if i % 2 else 'bad poor'} film {i}", "p" if i % 2 else "n") for i in range(40)],
+                                   "doc_id long, text string, label string")
+    root = os.path.join(scratch, "res")
+
+    def broken(train, params):
+        raise RuntimeError("no such vectors")
+
+    V.register_vectorizer("Broken", broken)
+    try:
+        with pytest.raises(RuntimeError):
+            run_experiment(spark, corpus, "d", ["lowercase"], {"BoW": {}, "Broken": {}}, ["LogisticRegression"], n_splits=2, results_root=root)
+        first = read_results(spark, root).collect()
+        assert [(r.vectorizer_name, r.fold_number) for r in first] == [("BoW", 1)]
+        V.register_vectorizer("Broken", V.fit_bow)
+        out = run_experiment(spark, corpus, "d", ["lowercase"], {"BoW": {}, "Broken": {}}, ["LogisticRegression"], n_splits=2, results_root=root)
+        rows = out.collect()
+        assert sorted((r.vectorizer_name, r.fold_number) for r in rows) == [("BoW", 1), ("BoW", 2), ("Broken", 1), ("Broken", 2)]
+        assert first[0].timestamp in {r.timestamp for r in rows}  # the finished cell was not run again
+    finally:
+        del V.VECTORIZERS["Broken"]
+    entries = {e.label: e for e in rows[0].classification_report}
+    assert set(entries) == {"0.0", "1.0", "accuracy", "macro avg", "weighted avg"}
+    assert entries["accuracy"].f1 == rows[0].accuracy and entries["macro avg"].f1 == rows[0].f1_score
+
+
+def test_vectoriser_tokens_with_lemmas(spark):
+    from corpuslab.operators import vectorizers as V
+
+    docs = spark.createDataFrame([(1, "cats chase mice"), (1, "boxes"), (None, "the cat"), (2, None)], "doc_id long, text string")
+    lexicon = spark.createDataFrame([("cat",), ("box",), ("mouse",)], "word string")
+    exceptions = spark.createDataFrame([("mice", "mouse")], "word string, lemma string")
+    got = V._with_tokens(docs, {"lexicon": lexicon, "exceptions": exceptions}, analyzer=True).collect()
+    assert sorted((str(r.doc_id), r.tokens) for r in got if r.tokens is not None) == [
+        ("1", ["box"]), ("1", ["cat", "chase", "mouse"]), ("None", ["cat"])]
+    assert [r.doc_id for r in got if r.tokens is None] == [2]
+    model = V.fit_vectorizer("BoW", docs.where("text is not null"), {"lexicon": lexicon, "exceptions": exceptions})
+    assert model.state["vocabulary_size"] == 4
