@@ -48,10 +48,12 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, piece_chars: int = PIEC
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
-    order = Window.partitionBy("lang").orderBy("h", "piece")
-    rows = (known.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, piece_chars).alias("piece"))
-            .withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= sample_docs)
-            .dropDuplicates(["lang", "n"])  # copies of one text add nothing to a dictionary
+    # Copies of one text collapse before anything is ranked, so a text that fills a third of the rows is one row here.
+    texts = known.select("lang", F.xxhash64("text").alias("h")).distinct()
+    chosen = texts.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_docs)
+    # At most max_langs * sample_docs rows of two numbers and a name: a proven bound for the broadcast.
+    rows = (known.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"])
+            .groupBy("lang", "n").agg(F.min(F.substring("text", 1, piece_chars)).alias("piece"))
             .orderBy("lang", "n").collect())
     pieces: dict[str, list[bytes]] = {r["lang"]: [] for r in sorted(counts, key=lambda r: (-r["n"], r["lang"]))}
     for r in rows:

@@ -325,3 +325,14 @@ def test_pipeline_edges(spark):
         for name, stage in P.STAGES:
             now = stage(spark, now, SF)
         assert now.count() <= docs.count()
+
+
+def test_language_sample_ignores_copies(spark):
+    from corpuslab.llm import langid
+
+    rows = [("en", "the same words again")] * 300 + [("en", f"another english text number {i}") for i in range(80)] + [
+        ("de", f"ein anderer Satz {i}") for i in range(60)] + [(None, "no label"), ("fr", None), ("fr", "12 34")]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    many, few = langid.fit(docs, sample_docs=5), langid.fit(docs.distinct(), sample_docs=5)
+    assert many == few and list(many) == ["en", "de"]
+    assert langid.fit(docs.limit(0)) == {}
