@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 48
 PIECE_CHARS = 3000
 MAX_LANGS = 200
+RANK_SHARES = 32
 LEVEL = 9
 UNKNOWN = "und"
 #: Smallest share by which the best size must beat the second best.
@@ -50,7 +51,11 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, piece_chars: int = PIEC
         raise ValueError(f"more than {max_langs} languages")
     # Copies of one text collapse before anything is ranked, so a text that fills a third of the rows is one row here.
     texts = known.select("lang", F.xxhash64("text").alias("h")).distinct()
-    chosen = texts.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_docs)
+    # Ranked in shares first: the last ranking gets at most RANK_SHARES * sample_docs rows of a language, from any number of partitions.
+    chosen = texts.withColumn("share", F.pmod("h", F.lit(RANK_SHARES)))
+    for keys in (["lang", "share"], ["lang"]):
+        chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("n") <= sample_docs)
+    chosen = chosen.select("lang", "h", "n")
     # At most max_langs * sample_docs rows of two numbers and a name: a proven bound for the broadcast.
     rows = (known.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"])
             .groupBy("lang", "n").agg(F.min(F.substring("text", 1, piece_chars)).alias("piece"))
