@@ -42,3 +42,14 @@ def test_cleaning_does_not_run_twice(spark):
     control = toks.select("doc_id", F.explode("tokens").alias("term"))
     assert _size_filters(control) == 1
     assert _size_filters(term_frequencies(toks)) == 0
+
+
+def test_word2vec_reads_every_document(spark, monkeypatch):
+    from corpuslab.operators import vectorizers as V
+    from corpuslab.plans.model_queries import word2vec_doc_vectors
+
+    full = V.fit_word2vec
+    monkeypatch.setattr(V, "fit_word2vec", lambda train, params: full(train, {**params, "vector_size": 4, "epochs": 1}))
+    ids = {r.doc_id for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id").collect()}
+    got = [r.doc_id for r in word2vec_doc_vectors(spark, SF_SMALL).select("doc_id").collect()]
+    assert len(ids) == 200 and len(got) == 200 and set(got) == ids
