@@ -8,8 +8,11 @@ ones, and paths at or above a share of their spread are content. Paths that
 sit in the same article as a content path, or beside it in the same parent,
 are content as well, so short paragraphs and headings stay. Menus, page
 headers and footers, asides, forms, adverts, notices and reader comments are
-known by tag, role, class or id and never count. Pages are independent: one
-narrow pass.
+known by tag, role, class or id and do not count. A class or id only proposes:
+it must name the element (``has-sidebar`` names another one), and an element
+that holds the page's article, or most of the text of its article or page, is
+a wrapper and stays, as does a form around the page. Pages are independent:
+one narrow pass.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ from pyspark.sql import functions as F
 SPREAD = 0.5
 #: Blocks whose text is links to more than this share are navigation.
 LINKS = 0.6
+#: An element marked as layout with this share of its article's or page's text is a wrapper; one marked otherwise needs more.
+WRAPPER = 0.5
+WRAPPER_OTHER = 0.8
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -38,14 +44,20 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr".split())
 #: Elements whose text is no article text wherever they stand.
-_NEVER = frozenset("head nav footer aside form menu svg math select button dialog object audio video canvas map".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+_NEVER = frozenset("head nav footer aside menu svg math select button dialog object audio video canvas map".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 #: Words that mark such parts in classes and ids.
 _MARKS = frozenset(
     "ad ads adv advert advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar "
     "aside footer header masthead topbar banner cookie cookies consent notice notices alert popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended comment comments commentlist disqus respond reply replies widget "
     "toolbar pagination pager tags skip".split())
+#: Marks of page parts whose names wrappers borrow.
+_LAYOUT = frozenset("form nav navbar navigation menu sidebar aside footer header masthead topbar banner widget toolbar social tags".split())
+#: Inside an article these mark the article's own head.
+_HEADS = frozenset("header masthead banner".split())
+#: First words of tokens that say something about an element and do not name it.
+_STATES = frozenset("has have with no not without is are can show shows hide hides js uses use supports enable enabled disable disabled".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p "
     "pre section table ul".split())
@@ -59,10 +71,20 @@ class Block:
     path: tuple[str, ...]
     text: str
     links: int  # characters of link text
+    holds: tuple[int, ...] = ()  # marked elements it stands in, outermost first
 
 
-def _label(name: str, attrs: str) -> tuple[str, bool]:
-    """(path label, whether the element is no article part by its attributes)."""
+@dataclass
+class _Hold:
+    """A marked element: held back unless it turns out to be a wrapper."""
+
+    wrapper: float  # share of the text from which it is one
+    article: int | None  # the outermost article or main it stands in
+    contains: bool = False  # an article or main of the page
+
+
+def _label(name: str, attrs: str) -> tuple[str, bool, set[str]]:
+    """(path label, whether the element is no article part by its role, marks that name it)."""
     marks, role = [], ""
     if attrs:
         for key, a, b, c in _ATTR.findall(attrs):
@@ -71,18 +93,22 @@ def _label(name: str, attrs: str) -> tuple[str, bool]:
                 role = value.strip()
             else:
                 marks.extend(value.split())
-    out = bool(role in _ROLES)
+    named = {"form"} if name == "form" or role == "form" else set()
     for m in marks:
-        words = re.split(r"[^a-z]+", m)
-        out |= bool(_MARKS.intersection(words))
-    return ".".join([name, *sorted(marks)]), out
+        words = [w for w in re.split(r"[^a-z]+", m) if w]
+        if words and words[0] not in _STATES:
+            named |= _MARKS.intersection(words)
+    return ".".join([name, *sorted(marks)]), role in _ROLES, named
 
 
 def blocks(page: str | None) -> list[Block]:
     """Text blocks outside the parts that are never content, in page order."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # (name, label, never)
+    scopes: list[int | None] = []  # the outermost article of each block
+    stack: list[tuple[str, str, bool, tuple[int, ...], int | None]] = []  # (name, label, never, holds, outermost article)
+    marked: list[_Hold] = []
+    articles = 0
     parts: list[str] = []
     link_chars = 0
 
@@ -90,7 +116,8 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal link_chars
         text = " ".join("".join(parts).split())
         if text and not (stack and stack[-1][2]):
-            out.append(Block(tuple(s[1] for s in stack if s[0] not in _INLINE), text, link_chars))
+            out.append(Block(tuple(s[1] for s in stack if s[0] not in _INLINE), text, link_chars, stack[-1][3] if stack else ()))
+            scopes.append(stack[-1][4] if stack else None)
         parts.clear()
         link_chars = 0
 
@@ -142,16 +169,70 @@ def blocks(page: str | None) -> list[Block]:
                 _close(stack, {"p"}, {"article", "section", "div", "td", "th", "li", "body", "main", "blockquote", "table"})
             if name in _CLOSES_SAME:
                 _close(stack, _CLOSES_SAME[name], _SCOPE[name])
-        label, marked = _label(name, m.group(3))
-        held = bool(stack and stack[-1][2])
+        label, role, named = _label(name, m.group(3))
+        _, _, held, holds, article = stack[-1] if stack else ("", "", False, (), None)
         in_article = any(s[0] in ("article", "main") for s in stack)
-        never = held or marked or name in _NEVER or (name == "header" and not in_article)
+        never = held or role or name in _NEVER or (name == "header" and not in_article)
         if name in ("html", "body", "article", "main") and not held:
-            never = marked and name == "article" and in_article  # a page or its article is no part of itself; a comment in it is
-        if not m.group(3).endswith("/") or name in ("p", "div"):
-            stack.append((name, label, never))
+            never = role and name == "article" and in_article  # a page or its article is no part of itself; a comment in it is
+            if not (name == "article" and in_article):
+                named = set()
+        if in_article:
+            named -= _HEADS
+        if m.group(3).endswith("/") and name not in ("p", "div"):
+            continue
+        if not held and name in ("article", "main"):
+            if article is None:
+                article, articles = articles, articles + 1
+            if not named and not any(s[0] == "article" for s in stack):
+                for k in holds:  # what stands around an article, not a comment in one
+                    marked[k].contains = True
+        if not never and named:
+            holds = (*holds, len(marked))
+            marked.append(_Hold(WRAPPER if named <= _LAYOUT else WRAPPER_OTHER, article))
+        stack.append((name, label, never, holds, article))
     flush()
-    return out
+    return _released(out, scopes, marked)
+
+
+def _released(bs: list[Block], scopes: list[int | None], marked: list[_Hold]) -> list[Block]:
+    """The blocks outside marked elements and in wrappers."""
+    if not marked:
+        return bs
+    weight = [len(b.text) - min(b.links, len(b.text)) for b in bs]
+    size, within = [0] * len(marked), defaultdict(list)
+    shown: dict[int | None, int] = defaultdict(int)  # text not held back, of an article or (None) of the page
+    in_articles = False  # whether an article has such text
+    kept: set[int] = set()
+
+    def show(i: int) -> None:
+        shown[None] += weight[i]
+        if scopes[i] is not None:
+            shown[scopes[i]] += weight[i]
+
+    for i, b in enumerate(bs):
+        if not b.holds:
+            show(i)
+            in_articles |= scopes[i] is not None and weight[i] > 0
+        for k in b.holds:
+            size[k] += weight[i]
+            within[k].append(i)
+    # The largest first, so wrappers come before what they hold and before small parts beside them.
+    for k in sorted(within, key=lambda k: (-size[k], k)):
+        e, holds = marked[k], bs[within[k][0]].holds
+        if any(o not in kept for o in holds[:holds.index(k)]):
+            continue
+        beside, layout = shown[e.article], e.wrapper == WRAPPER
+        # An article elsewhere is the page's: other marked elements are no wrappers, whatever articles (comments, adverts) they hold.
+        if not size[k] or (e.article is None and in_articles and not (e.contains and layout)) or (e.contains and beside and not layout):
+            continue
+        if (e.contains and not beside) or size[k] >= e.wrapper * (size[k] + beside):
+            kept.add(k)
+            for i in within[k]:
+                if all(o in kept for o in bs[i].holds):
+                    show(i)
+                    in_articles |= scopes[i] is not None and weight[i] > 0
+    return [b for b in bs if all(k in kept for k in b.holds)]
 
 
 def _close(stack: list, names: set[str], scope: set[str]) -> None:

@@ -299,6 +299,18 @@ def test_main_text_without_article():
     assert len(html_extract.main_text("<p>" + "word, " * 50_000)) > 250_000
 
 
+def test_main_text_in_marked_wrappers():
+    body = "<h1>Title</h1><p>First para, rather long, with text.</p><p>Second para, as long, with text.</p>"
+    want = "Title First para, rather long, with text. Second para, as long, with text."
+    side = '<div class="sidebar"><p>Side text, some.</p></div><div id="comments"><p>Nice.</p></div>'
+    for page in (f'<div class="layout has-sidebar"><article>{body}</article>{side}</div>', f'<div class="page with-header"><article>{body}</article></div>',
+                 f'<div class="content-sidebar-wrap"><main>{body}</main>{side}</div>', f'<form><div class="post">{body}</div>{side}</form>',
+                 f'<article><header class="entry-header"><h1>Title</h1></header>{body[14:]}{side}</article>',
+                 f'<div class="site-header"><p>Our site, welcome.</p></div><div class="sidebar-right">{body}</div>{side}',
+                 f'<article>{body}</article><div id="comments"><article><p>{"Nice, really. " * 30}</p></article></div>'):
+        assert html_extract.main_text(f"<html><body>{page}</body></html>") == want, page
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline(spark):
