@@ -3,20 +3,22 @@
 Candidates are long runs of key-like characters. Their features: length,
 character classes, transitions (mean log-probability of the character pairs
 under counts over the whole corpus), dictionary coverage (share of letters in
-words seen around other candidates), path marks and neighbouring words. The
-forest (MLlib) is trained from labelled findings: those given, or else the
+words that other text of the corpus uses), path marks and neighbouring words.
+The forest (MLlib) is trained from labelled findings: those given, or else the
 candidates that strict rules decide (known formats and quoted assignments
-against plain words), a bounded sample of ``fit_rows`` per class. A finding
-whose class a label or strict rule gives keeps it.
+against plain words and placeholders), a bounded sample of ``fit_rows`` per
+class. The rules only train: the forest scores every candidate but known
+formats, which are secrets, and reviewed findings, which keep their label.
 
-One pass counts transitions, one extracts candidates; only candidates are
-shuffled. The pair counts (38 x 38) and at most ``dictionary_words`` words
+One pass counts transitions, one words, one extracts candidates; candidates
+and each task's distinct words are shuffled. Only the pair counts (38 x 38)
 reach the driver.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslab.llm.common import scratch_table
+from corpuslab.operators.joins import lookup_join
 
 FIT_ROWS = 20_000
-DICTIONARY_WORDS = 20_000
+#: A dictionary word is met twice, and once in so many words, at least.
+WORD_SHARE = 10_000_000
+#: Distinct words a task counts before it hands them on.
+WORDS_HELD = 200_000
 TREES, DEPTH, SEED = 40, 8, 5
 LEFT, RIGHT = 60, 30
 CANDIDATE = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/_-]{20,}={0,2}|(?<=[=:]\s[\"'])[^\s\"']{8,19}(?=[\"'])|(?<=[=:][\"'])[^\s\"']{8,19}(?=[\"'])")
@@ -41,6 +47,7 @@ FORMATS = re.compile(
 KEYWORD = re.compile(r"(?i)(token|secret|api[_-]?key|access[_-]?key|passwor|passwd|pwd|auth|credential|bearer|private)")
 PLACEHOLDER = re.compile(r"(?i)(example|dummy|sample|placeholder|changeme|your[_-]|xxxx|test[_-]?key|0123456789|abcdef0123)")
 ASSIGNED = re.compile(r"""[=:]\s*["']?\s*$""")
+_RUN = re.compile(r"[a-z0-9+/_-]+")
 PATH_MARK = re.compile(r"(?i)(test|example|sample|doc|readme|mock|fixture)")
 FEATURES = ["length", "digits", "uppers", "marks", "entropy", "transitions", "class_changes", "hex", "coverage", "in_path", "assigned",
             "keyword", "placeholder", "quoted", "known_format"]
@@ -95,16 +102,44 @@ def candidates(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), path.alias("path")).mapInArrow(run, schema)
 
 
-def _words(text: str) -> list[str]:
-    return re.findall(r"[a-z]{3,}", text.lower())
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(w, n) of words of 3 to 19 letters over every whole text; a part of a longer run of key characters is no word."""
 
+    def run(batches):
+        held: Counter[str] = Counter()
+
+        def hand_on():
+            known = [(w, n) for w, n in held.items() if 3 <= len(w) < 20 and w.isalpha()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in known], pa.string()), pa.array([k[1] for k in known], pa.int64())], ["w", "n"])
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                held.update(_RUN.findall((text or "").lower()))
+                if len(held) > WORDS_HELD:
+                    yield hand_on()
+        yield hand_on()
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
-def features(candidate: str, before: str, after: str, path: str, log_pairs: np.ndarray, dictionary: frozenset[str]) -> list[float]:
+
+def covered_letters(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """``found`` with ``covered``: how many of a candidate's letters stand in dictionary words."""
+    counts = scratch_table(word_counts(docs))
+    least = max(2, (counts.agg(F.sum("n")).first()[0] or 0) // WORD_SHARE)
+    distinct = found.select("candidate").distinct()
+    pieces = distinct.select("candidate", F.explode(F.split(F.lower("candidate"), "[^a-z]+")).alias("w")).where(F.length("w") >= 3)
+    # The words that candidates have, then their counts: a word of many candidates meets its count in salted parts.
+    known = scratch_table(counts.where(F.col("n") >= least).join(pieces.select("w").distinct(), "w", "left_semi").select("w"))
+    each = lookup_join(pieces, known, "w").groupBy("candidate").agg(F.sum(F.length("w")).cast("double").alias("covered"))
+    return lookup_join(found, scratch_table(each), "candidate", "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
+
+
+def features(candidate: str, before: str, after: str, path: str, covered: float, log_pairs: np.ndarray) -> list[float]:
     n = max(1, len(candidate))
     c = _codes(candidate).astype(np.int32)
     counts = np.unique(c, return_counts=True)[1] / max(1, len(c))
     kind = np.where(c < 26, 0, np.where(c < 36, 1, 2))
-    covered = sum(len(w) for w in re.findall(r"[a-z]+", candidate.lower()) if w in dictionary)
     near = before[-30:]
     return [float(len(candidate)), sum(x.isdigit() for x in candidate) / n, sum(x.isupper() for x in candidate) / n,
             sum(not x.isalnum() for x in candidate) / n, float(-(counts * np.log2(counts)).sum()),
@@ -115,53 +150,58 @@ def features(candidate: str, before: str, after: str, path: str, log_pairs: np.n
             float(bool(FORMATS.match(candidate)))]
 
 
-def strict_label(f: list[float]) -> float | None:
-    """1 or 0 where the rules are sure of a finding, else None."""
+def known_secret(candidate: str) -> bool:
+    """A provider's format, unless the candidate itself says that it stands for one."""
+    return bool(FORMATS.match(candidate)) and not PLACEHOLDER.search(candidate)
+
+
+def strict_label(f: list[float], candidate: str) -> float | None:
+    """1 or 0 where the rules are sure enough of a finding to train with it, else None."""
     v = dict(zip(FEATURES, f))
-    if v["placeholder"]:
+    if PLACEHOLDER.search(candidate):
         return 0.0
-    if v["known_format"] or (v["assigned"] and v["keyword"] and v["quoted"] and v["digits"] > 0 and v["length"] >= 16):
+    if known_secret(candidate) or (v["assigned"] and v["keyword"] and v["quoted"] and v["digits"] > 0 and v["length"] >= 16):
         return 1.0
-    if not v["assigned"] and not v["keyword"] and not v["quoted"]:
+    if not v["assigned"] and not v["keyword"] and not v["quoted"] and not v["digits"]:
         return 0.0
     return None
 
 
-def findings(docs: DataFrame, labelled: DataFrame | None = None, fit_rows: int = FIT_ROWS, dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
+def findings(docs: DataFrame, labelled: DataFrame | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row per candidate: doc_id, start, end, length, secret_sha256, kind, score, is_secret.
 
     ``labelled`` (doc_id, start, label 0/1) are reviewed findings; without
-    it the strict rules label what they are sure of. With fewer than two
-    classes labelled, what is not labelled counts as a secret if it is
-    assigned to a key word. Null and empty texts have no candidates; repeated
+    it the strict rules label what they are sure of, to train the forest with.
+    With fewer than two classes labelled there is no forest, and what is not
+    reviewed counts as a secret if it is assigned to a key word. Null and empty texts have no candidates; repeated
     rows repeat theirs; other columns are ignored; empty tables give no rows.
     """
     found = scratch_table(candidates(docs))
     pairs = transition_counts(docs) + 1.0
     log_pairs = np.log(pairs / pairs.sum(axis=1, keepdims=True))
-    around = found.select(F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "before", "after")), "[^a-z]+"))).alias("w"))
-    words = (around.where(F.length("w") >= 3).groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
-             .orderBy(F.desc("n"), "w").limit(dictionary_words).collect())
-    shared = docs.sparkSession.sparkContext.broadcast((log_pairs, frozenset(r["w"] for r in words)))
-    schema = T.StructType([*found.schema.fields, *[T.StructField(f, T.DoubleType()) for f in ["strict", *FEATURES]]])
+    shared = docs.sparkSession.sparkContext.broadcast(log_pairs)
+    fields = found.schema.fields
+    found = covered_letters(found, docs).select(*found.columns, "covered")
+    schema = T.StructType([*fields, *[T.StructField(f, T.DoubleType()) for f in ["strict", "fixed", *FEATURES]]])
 
     def run(batches):
         for b in batches:
             cols = [c.to_pylist() for c in b.columns[3:]]
-            rows = [features(*r, *shared.value) for r in zip(*cols)]
-            strict = pa.array([strict_label(r) for r in rows], pa.float64())
+            rows = [features(*r, shared.value) for r in zip(*cols)]
+            strict = pa.array([strict_label(r, c) for r, c in zip(rows, cols[0])], pa.float64())
+            fixed = pa.array([1.0 if known_secret(c) else None for c in cols[0]], pa.float64())
             data = np.array(rows, np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns, strict, *[pa.array(data[:, k]) for k in range(len(FEATURES))]],
-                                             [*b.schema.names, "strict", *FEATURES])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], strict, fixed, *[pa.array(data[:, k]) for k in range(len(FEATURES))]],
+                                             [*b.schema.names[:-1], "strict", "fixed", *FEATURES])
 
     rows = found.mapInArrow(run, schema)
     if labelled is not None:
         given = labelled.select(F.col("doc_id").cast("long"), F.col("start").cast("int"), F.col("label").cast("double").alias("given")).where(
             F.col("given").isNotNull()).dropDuplicates(["doc_id", "start"])
         rows = rows.join(given, ["doc_id", "start"], "left")
-        label = F.col("given")
+        label, final = F.col("given"), F.coalesce("given", "fixed")
     else:
-        label = F.col("strict")
+        label, final = F.col("strict"), F.col("fixed")
     rows = scratch_table(rows.withColumn("label", label))
     known = rows.where(F.col("label").isNotNull())
     picks = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id", "start"), "candidate").limit(fit_rows) for v in (0.0, 1.0)]
@@ -176,7 +216,7 @@ def findings(docs: DataFrame, labelled: DataFrame | None = None, fit_rows: int =
         score = vector_to_array("probability")[1]
     else:
         score = (F.col("assigned") * F.col("keyword"))
-    score = F.coalesce(F.col("label"), score)
+    score = F.coalesce(final, score)
     kind = F.when(F.col("known_format") > 0, "known_format").when(F.col("hex") > 0, "hex").otherwise("generic")
     return rows.select("doc_id", "start", "end", F.length("candidate").alias("length"), F.sha2(F.col("candidate").cast("binary"), 256).alias("secret_sha256"),
                        kind.alias("kind"), score.alias("score"), (score >= 0.5).alias("is_secret"))

@@ -213,6 +213,21 @@ def test_secrets(spark):
     assert secret_scan.findings(edge_docs(spark).limit(0)).count() == 0
 
 
+def test_secrets_are_scored_by_the_forest(spark):
+    rnd = random.Random(9)
+    key = lambda: "".join(rnd.choices("0123456789abcdef", k=40))
+    rows = [(i, f'word another token = "{key()}" tail' if i % 2 else f"plain {'thingandother' * 2} words here {i}", "src") for i in range(60)]
+    rows += [(100, f"the value {key()} stands in a sentence", "src"), (101, f"see\n{key()}\nbelow", "src"), (102, "an example AKIA" + "Q7RZ" * 4, "src"),
+             (103, f'as in mail.example.com token = "{key()}"', "src"), (104, "word another-plain-words-and-another here", "src")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in secret_scan.findings(df).collect()}
+    assert out[100].score > 0.2 and out[101].score > 0.2 and out[102].score == 1 and out[103].is_secret and not out[104].is_secret
+    counts = {r.w: r.n for r in secret_scan.word_counts(df).collect()}
+    assert counts["word"] == 31 and "thingandotherthingandother" not in counts and counts["plain"] == 30
+    covered = secret_scan.covered_letters(secret_scan.candidates(df), df).where("doc_id = 104").first().covered
+    assert covered == len("another" + "plain" + "words" + "another")
+
+
 # ---------------------------------------------------------------- 8 passages
 
 def brute_removed(texts, n):
