@@ -154,6 +154,15 @@ def test_language_held_out_accuracy(spark):
     assert langid.fit(docs.limit(0)) == {} and langid.identify(docs.limit(0), {}).count() == 0
 
 
+def test_language_margin_does_not_fall_with_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    dictionaries = tuple(langid.fit(docs.where(~langid.held_out(F.col("doc_id")))).items())
+    text = " ".join(r.text for r in docs.where("lang = 'en'").select("text").collect() if r.text)
+    text *= -(-2_000_000 // len(text))
+    short, long = langid.classify(text[:100_000], dictionaries), langid.classify(text[:2_000_000], dictionaries)
+    assert short[0] == long[0] == "en" and long[2] > 0.5 * short[2] > 10 * langid.MARGIN
+
+
 # ---------------------------------------------------------------- 6 SimHash
 
 def brute_fingerprint(text):
