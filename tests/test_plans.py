@@ -53,3 +53,30 @@ def test_word2vec_reads_every_document(spark, monkeypatch):
     ids = {r.doc_id for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id").collect()}
     got = [r.doc_id for r in word2vec_doc_vectors(spark, SF_SMALL).select("doc_id").collect()]
     assert len(ids) == 200 and len(got) == 200 and set(got) == ids
+
+
+def test_folds_and_grid_are_the_references(spark, monkeypatch):
+    from corpuslab.plans import experiment
+    from corpuslab.plans import model_queries as M
+
+    asked = {}
+
+    def grid(spark, corpus, name, stages, vectorizers, models, n_splits):
+        asked.update(vectorizers=vectorizers, n_splits=n_splits)
+        return spark.createDataFrame([(1,)], "fold_number int")
+
+    monkeypatch.setattr(experiment, "run_experiment", grid)
+    M.experiment_small(spark, SF_SMALL)
+    assert asked == {"n_splits": 10, "vectorizers": {"BoW": {}, "TF-IDF": {}, "Word2Vec": {}, "Doc2Vec": {}}}
+    M.experiment_small(spark, SF_SMALL, folds=3, vectorizers={"BoW": {"min_df": 2}})
+    assert asked == {"n_splits": 3, "vectorizers": {"BoW": {"min_df": 2}}}
+
+    class Majority:
+        def predict(self, df):
+            return df.selectExpr("doc_id", "label", "label AS prediction", "array(0D, 1D) AS scores")
+
+    monkeypatch.setattr(M.C, "train", lambda method, df: Majority())
+    monkeypatch.setattr(M.V, "fit_vectorizer", lambda name, train: type("Fit", (), {"transform": lambda self, df: df})())
+    for name in ("classify_logistic", "svc_scores"):
+        n = {r.fold: r["count"] for r in M.QUERIES[name](spark, SF_SMALL).groupBy("fold").count().collect()}
+        assert sorted(n) == list(range(1, 11)) and len(set(n.values())) == 1
