@@ -130,10 +130,10 @@ def pii_table(docs: DataFrame) -> DataFrame:
 
 
 def redact(text: str, pii: str) -> Column:
-    """``text`` with every span replaced by its kind in angle brackets; of overlapping spans the first one counts."""
+    """``text`` with every span replaced by its kind in angle brackets; overlapping spans are replaced as one, by the first one's kind."""
     state = "named_struct('at', 0, 'parts', CAST(array() AS array<string>))"
     return F.expr(
-        f"CASE WHEN size({pii}) = 0 THEN {text} ELSE aggregate({pii}, {state}, (a, x) -> IF(x.s < a.at, a, named_struct('at', x.e, 'parts', "
+        f"CASE WHEN size({pii}) = 0 THEN {text} ELSE aggregate({pii}, {state}, (a, x) -> IF(x.s < a.at, named_struct('at', greatest(a.at, x.e), 'parts', a.parts), named_struct('at', x.e, 'parts', "
         f"concat(a.parts, array(substring({text}, a.at + 1, x.s - a.at), concat('<', x.kind, '>'))))), "
         f"a -> concat(array_join(a.parts, ''), substring({text}, a.at + 1, length({text})))) END")
 

@@ -68,6 +68,12 @@ def test_pii_added_kinds_and_redaction(spark):
     assert red[4] == ("mail <email> and <ip>", 21) and red[5] == (None, None) and red[3] == ("code 123-45-6789", 16)
 
 
+def test_pii_redacts_overlapping_spans_whole(spark):
+    df = spark.createDataFrame([(1, "call +1 555 123 4567.john@example.com now", 40), (2, "a@b.cd e@f.gh", 13)], "doc_id long, text string, n_chars long")
+    red = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert red == {1: "call <phone> now", 2: "<email> <email>"}
+
+
 def test_pii_is_native(spark):
     plan = pii.pii_table(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
