@@ -8,8 +8,8 @@ block maxima of its rare terms bound every item's score; blocks that cannot
 reach an item's threshold are skipped, then items, and the rest are scored in
 full. All items at or above ``share`` of their own top score are retrieved.
 A retrieved item is a leak if its five-word shingles lie in the passage to
-``overlap`` or more, and its question and its answer (the last sentence) do
-so word by word.
+``overlap`` or more; of an item that is a question with an answer, both must
+do so word by word as well.
 
 The item table is dealt into shards of bounded bytes; each shard's index is
 broadcast and meets all documents in one narrow pass, without a shuffle.
@@ -38,17 +38,25 @@ SHARD_BYTES = 8 << 20
 #: ASCII other than letters and digits separates words; all other bytes belong to them.
 _SEPARATORS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
+_ANSWER = re.compile(r"(?i)(?<=\s)answer\s*:")
+
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SEPARATORS).split()
 
 
 def question_answer(text: str | None) -> tuple[list[bytes], list[bytes]]:
-    """Words of an item's question and of its answer: its last sentence, if it has more than one."""
-    sentences = [s for s in (words(p) for p in re.split(r"(?<=[.!?])\s+", text or "")) if s]
-    if len(sentences) < 2:
-        return (sentences[0] if sentences else []), []
-    return [w for s in sentences[:-1] for w in s], sentences[-1]
+    """Words of an item's question and of its answer: what follows ``Answer:``, or the last sentence after one that asks.
+
+    An item of another form is all question.
+    """
+    marked = _ANSWER.split(text or "", maxsplit=1)
+    if len(marked) == 2 and words(marked[0]) and words(marked[1]):
+        return words(marked[0]), words(marked[1])
+    sentences = [(p, w) for p in re.split(r"(?<=[.!?])\s+", text or "") if (w := words(p))]
+    if any(p.endswith("?") for p, _ in sentences[:-1]):
+        return [w for _, s in sentences[:-1] for w in s], sentences[-1][1]
+    return words(text), []
 
 
 def shingles(ws: list[bytes], n: int = SHINGLE) -> set[tuple[bytes, ...]]:
@@ -135,7 +143,7 @@ class Index:
         classes: dict[int, list[Item]] = {}
         for item_id, text in rows:
             question, answer = question_answer(text)
-            ws = question + answer
+            ws = words(text)
             if not ws:
                 continue
             item = Item(item_id, ws, set(question), set(answer), shingles(ws))
@@ -175,7 +183,8 @@ class Index:
                     continue
                 passage = docs[d][first:(p - int(base[d]) + 2) * c.span]
                 have = set(passage)
-                if (len(item.question & have) < overlap * len(item.question) or len(item.answer & have) < overlap * len(item.answer)):
+                if item.answer and (len(item.question & have) < overlap * len(item.question)
+                                    or len(item.answer & have) < overlap * len(item.answer)):
                     continue
                 share = len(item.shingles & _runs(passage, item)) / len(item.shingles)
                 if share >= overlap:

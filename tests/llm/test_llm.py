@@ -307,6 +307,16 @@ def test_leaks_edges(spark):
     assert decontam.leaks(docs, items.limit(0)).count() == 0 and decontam.remove_leaks(docs.limit(0), items).count() == 0
 
 
+def test_near_copies_with_another_last_word_leak(spark):
+    prose = "red orange yellow green blue indigo violet black white grey brown pink"
+    items = spark.createDataFrame([(1, f"{prose}. Er."), (2, f"{prose.replace('red', 'teal')} silver gold? Bronze.")], "item_id long, text string")
+    docs = edge_docs(spark, [(k, t, "en", "s", 1) for k, t in enumerate(
+        [f"start {prose} er end", f"start {prose} he end", f"start {prose}", f"start {prose.replace('red', 'teal')} silver gold bronze end",
+         f"start {prose.replace('red', 'teal')} silver gold copper end"])])
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()}
+    assert {(0, 1), (1, 1), (2, 1), (3, 2)} <= got and (4, 2) not in got
+
+
 # ---------------------------------------------------------------- 10 HTML
 
 def test_main_text_of_given_pages(spark):
