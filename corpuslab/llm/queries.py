@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import bpe, decontam, embedding_dedup, html_extract, langid, merkle, passage_dedup, pii, secret_scan, simhash, url_filter
+from corpuslab.llm import bpe, decontam, embedding_dedup, html_extract, langid, merkle, passage_dedup, pii, secret_scan, sharding, simhash, url_filter
 from corpuslab.llm.common import bounded_batches, read
 
 
@@ -67,12 +67,17 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard, slot and the shard after one more is added, of every document (see ``sharding``)."""
+    return sharding.shard_table(read(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root, proof and tampering check of every document (see ``merkle``)."""
     return merkle.audit(read(spark, sf_dir, "documents")).drop("source", "path")
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_url_filter, op4_embedding_dedup, op5_language, op6_simhash, op7_secrets, op8_passages,
-                                   op9_decontamination, op10_main_text, op13_merkle)}
+                                   op9_decontamination, op10_main_text, op11_sharding, op13_merkle)}
 
 ORACLES: dict[str, str] = {"op13_merkle": merkle.manifest_sql()}
