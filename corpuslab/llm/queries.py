@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import bpe, decontam, embedding_dedup, html_extract, langid, merkle, passage_dedup, pii, secret_scan, sharding, simhash, url_filter
+from corpuslab.llm import (bpe, conversation_repair, decontam, embedding_dedup, html_extract, langid, merkle, passage_dedup, pii, secret_scan,
+                           sharding, simhash, url_filter)
 from corpuslab.llm.common import bounded_batches, read
 
 
@@ -72,12 +73,19 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(read(spark, sf_dir, "documents"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired digest of every damaged conversation (see ``conversation_repair``)."""
+    bounded_batches(spark)
+    conversations = read(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversation_repair.damage(conversations), conversations)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root, proof and tampering check of every document (see ``merkle``)."""
     return merkle.audit(read(spark, sf_dir, "documents")).drop("source", "path")
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_url_filter, op4_embedding_dedup, op5_language, op6_simhash, op7_secrets, op8_passages,
-                                   op9_decontamination, op10_main_text, op11_sharding, op13_merkle)}
+                                   op9_decontamination, op10_main_text, op11_sharding, op12_conversations, op13_merkle)}
 
 ORACLES: dict[str, str] = {"op13_merkle": merkle.manifest_sql()}
