@@ -71,15 +71,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_scratch(df: DataFrame) -> tuple[DataFrame, str]:
+def write_scratch(df: DataFrame, compression: str = "zstd") -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the checkpoint folder; the table read back and its path, for ``remove_scratch``.
 
     Like ``materialize``, but columns are pruned when it is read, and the
-    files can be removed as soon as nothing reads them.
+    files can be removed as soon as nothing reads them. Vectors hardly compress:
+    ``compression`` may be "none".
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

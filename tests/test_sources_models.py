@@ -76,10 +76,12 @@ def test_result_table_roundtrip(spark, scratch):
 
 @pytest.fixture(scope="module")
 def small_split(spark):
-    from corpuslab.plans.model_queries import fold_sides
+    from corpuslab.operators import splits as SP
+    from corpuslab.plans.model_queries import cleaned_labelled
 
-    train, test = fold_sides(spark, SF_SMALL)
-    return train.cache(), test.cache()
+    corpus = cleaned_labelled(spark, SF_SMALL).cache()
+    s = SP.stratified_splits(corpus.select("doc_id", "label"), n_splits=1, test_size=0.2, seed=1)
+    return tuple(SP.take_side(corpus, s, 1, side).cache() for side in ("train", "test"))
 
 
 @pytest.mark.parametrize("method", ["LinearSVC", "LogisticRegression", "RandomForest"])
@@ -128,11 +130,11 @@ def test_doc2vec_deterministic_and_infer(spark, small_split):
 
     train, test = small_split
     toks = train.select("doc_id", whitespace_tokens(F.col("text")).alias("tokens"))
-    m1 = Doc2Vec(vector_size=16, min_count=2, epochs=3, seed=1, num_partitions=4).fit(toks)
-    m2 = Doc2Vec(vector_size=16, min_count=2, epochs=3, seed=1, num_partitions=4).fit(toks.repartition(3))
+    m1 = Doc2Vec(vector_size=16, min_count=2, epochs=3, seed=1, block_tokens=3000).fit(toks)
+    m2 = Doc2Vec(vector_size=16, min_count=2, epochs=3, seed=1, block_tokens=3000).fit(toks.repartition(3))
     v1 = {r.doc_id: list(r.vector) for r in m1.doc_vectors.collect()}
     v2 = {r.doc_id: list(r.vector) for r in m2.doc_vectors.collect()}
-    assert v1.keys() == v2.keys() and all(max(abs(a - b) for a, b in zip(v1[k], v2[k])) < 1e-5 for k in v1)
+    assert v1 == v2
     inf = m1.infer(test.select("doc_id", whitespace_tokens(F.col("text")).alias("tokens")))
     assert inf.count() == test.count()
 
