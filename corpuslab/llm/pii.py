@@ -120,13 +120,13 @@ def find(docs: DataFrame, added: tuple[Kind, ...] = ADDED_KINDS) -> DataFrame:
 
 
 def pii_table(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds and of added ones, digest of the base spans, all spans and their scores."""
+    """doc_id, counts of the base kinds, digest of the base spans, all spans, counts of the added kinds and the spans' scores."""
     n = lambda k: F.expr(f"CAST(size(filter(pii, x -> x.kind = '{k}')) AS long)")
     base = f"filter(pii, x -> x.k < {len(BASE_KINDS)})"
     return find(docs).select(
-        "doc_id", *[n(k.name).alias(f"n_{k.name}") for k in BASE_KINDS + ADDED_KINDS],
+        "doc_id", *[n(k.name).alias(f"n_{k.name}") for k in BASE_KINDS],
         F.sha2(F.expr(_joined(base)).cast("binary"), 256).alias("base_sha256"), F.expr(_joined("pii")).alias("spans"),
-        F.expr("transform(pii, x -> x.score)").alias("scores"))
+        *[n(k.name).alias(f"n_{k.name}") for k in ADDED_KINDS], F.expr("transform(pii, x -> x.score)").alias("scores"))
 
 
 def redact(text: str, pii: str) -> Column:
