@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import drop_scratch, scratch_table
+from corpuslab.operators.joins import lookup_join
 
 LENGTH = 400
 #: A trigger of more dictionary entries than this is settled by counting rows, not in one task.
@@ -269,12 +270,17 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, hot_entries: int = H
     mixed = shared.where("mixed")
     # The dictionary entries of mixed triggers, each with one carrier.
     entries = scratch_table(mixed.groupBy("g", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("kid", "kh", "first", "count")).alias("at"))
-                            .select("g", "phrase", (F.col("n") == 1).alias("open"), "at.kid", "at.kh", "at.first", "at.count"))
+                            .select("g", "phrase", "n", (F.col("n") == 1).alias("open"), "at.kid", "at.kh", "at.first", "at.count"))
+    # Phrases carried very often are few, by their number of carriers: their rows are told apart first and never dealt by phrase.
+    closed = entries.where("NOT open").select("g", "phrase", "n")
+    common = closed.where(F.col("n") > hot_entries).select("g", "phrase")
+    often = lookup_join(mixed, common, ["g", "phrase"], how="left_semi")
+    seldom = lookup_join(mixed, common, ["g", "phrase"], how="left_anti").join(closed.select("g", "phrase"), ["g", "phrase"], "left_semi")
     hot = entries.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > hot_entries).select("g", F.lit(True).alias("hot"))
     carried = scratch_table(_carriers(docs, entries.join(hot, "g", "left").fillna(False, ["hot"]), length))
     runs = scratch_table(
         shared.where("NOT mixed").select("kid", "kh", "first", "count")
-        .unionAll(mixed.join(entries.where("NOT open").select("g", "phrase"), ["g", "phrase"], "left_semi").select("kid", "kh", "first", "count"))
+        .unionAll(often.select("kid", "kh", "first", "count")).unionAll(seldom.select("kid", "kh", "first", "count"))
         .unionAll(_settle(carried.where("NOT hot").repartition("g").sortWithinPartitions("g"), length))
         .unionAll(_settle_hot(carried.where("hot"), length)))
     for done in (shared, entries, carried):
@@ -283,7 +289,10 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, hot_entries: int = H
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True, hot_entries: int = HOT_ENTRIES) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with the flag kept (binary).
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with the flag text, what is left.
+
+    The digest is of the remaining bytes; in ``text`` a character that a cut
+    splits is left out.
 
     Texts count as UTF-8 bytes; a null text is empty. Matches never cross
     documents, overlaps in one document count, and all is judged on the
@@ -294,7 +303,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
     runs = repeated_windows(docs, length, hot_entries)
     per_text = runs.distinct().groupBy("kid", "kh").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
     joined = _keyed(docs).join(per_text, ["kid", "kh"], "left").select("doc_id", "text", "runs")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if keep_text else "")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def cut(batches):
@@ -313,6 +322,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
                 kept = b"".join([*parts, raw[at:]])
                 rows.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
             cols = [b.column(0), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], pa.array([r[3] for r in rows], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array([r[4] for r in rows], pa.binary())] if keep_text else []), names)
+            yield pa.RecordBatch.from_arrays(cols + ([pa.array([r[4].decode(errors="ignore") for r in rows], pa.string())] if keep_text else []), names)
 
     return joined.mapInArrow(cut, schema)

@@ -55,7 +55,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    return passage_dedup.remove_repeats(read(spark, sf_dir, "documents"), keep_text=False)
+    return passage_dedup.remove_repeats(read(spark, sf_dir, "documents"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
