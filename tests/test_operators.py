@@ -316,3 +316,26 @@ def test_term_frequencies_counts_inside_rows(spark):
     want = {(d, t, n) for d, ts in rows for t, n in Counter(x for x in ts or [] if x is not None).items()}
     assert {tuple(r) for r in tf.collect()} == want
     assert "Exchange" not in tf._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("digits, sorted_rows", [(3, 4096), (1, 3)])
+def test_split_thresholds_equal_sorting(spark, monkeypatch, digits, sorted_rows):
+    """Radix search of any depth gives the rows that sorting every class gives; repeated keys stay together, rows without a label have no split."""
+    import hashlib
+
+    monkeypatch.setattr(SP, "DIGITS", digits)
+    monkeypatch.setattr(SP, "SORTED_ROWS", sorted_rows)
+    rows = [(i, "abc"[min(i % 7, 2)]) for i in range(400)]
+    df = spark.createDataFrame(rows + [(i, None) for i in range(1000, 1010)], "doc_id long, label string")
+    splits = SP.stratified_splits(df, n_splits=3, test_size=0.25, seed=9)
+    assert "Exchange hash" not in splits._jdf.queryExecution().executedPlan().toString()
+    got = splits.collect()
+    alloc = {r.label: r.n_train_c for r in SP.allocate_train_counts(df, "label", 410, 410 - math.ceil(0.25 * 410)).collect()}
+    for fold in (1, 2, 3):
+        for label in "abc":
+            order = sorted((hashlib.md5(f"9|{fold}|{i}".encode()).hexdigest(), i) for i, x in rows if x == label)
+            want = {i for _, i in order[:alloc[label]]}
+            assert {r.doc_id for r in got if (r.fold, r.label, r.split) == (fold, label, "train")} == want
+    assert len(got) == 3 * 400
+    twice = SP.stratified_splits(spark.createDataFrame([(i // 2, "x") for i in range(40)], "doc_id long, label string"), n_splits=2).collect()
+    assert all(len({r.split for r in twice if (r.fold, r.doc_id) == (f, d)}) == 1 for f in (1, 2) for d in range(20))
