@@ -116,16 +116,18 @@ def box_stats(df: DataFrame, value: str, keys: list[str], approx: bool = False,
               accuracy: int = 10000) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and outlier count per group.
 
-    Exact quartiles (linear interpolation) by default; ``approx=True`` uses
-    the bounded-memory ``percentile_approx`` sketch for very large groups.
+    Exact quartiles (linear interpolation) by default, found by refining
+    histograms, whatever the size of a group; ``approx=True`` uses the
+    ``percentile_approx`` sketch in one pass.
     """
+    from corpuslab.operators.selection import quantiles
+
     if approx:
         q = F.percentile_approx(value, [0.25, 0.5, 0.75], accuracy)
+        found = df.groupBy(*keys).agg(q.alias("q"), F.count(value).cast("long").alias("n"))
     else:
-        q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    quart = (df.groupBy(*keys).agg(q.alias("_q"), F.count(value).cast("long").alias("n"))
-               .select(*keys, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                       F.col("_q")[2].alias("q3")))
+        found = quantiles(df, keys, value, [0.25, 0.5, 0.75])
+    quart = found.select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     quart = quart.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo = F.col("q1") - 1.5 * F.col("iqr")
     hi = F.col("q3") + 1.5 * F.col("iqr")
