@@ -8,14 +8,17 @@ share by which it beats the runner-up is the margin. A narrow margin is
 rejected.
 
 The dictionaries are the only thing learned: a bounded sample
-(``sample_docs`` documents per language, the lowest hashes, ``piece_chars``
-of each). Fitting reads all labelled rows; the sample reaches the driver
-(at most ``max_langs * sample_docs * piece_chars`` characters).
+(``sample_docs`` documents per language, the lowest hashes; of a text longer
+than ``piece_chars``, ``slices`` pieces at even distances from its first to
+its last character). Fitting reads all labelled rows; the sample reaches the
+driver (at most ``max_langs * sample_docs * piece_chars`` characters).
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 48
 PIECE_CHARS = 3000
+SLICES = 10
 MAX_LANGS = 200
 #: Bytes of cleaned text compressed at a time.
 TEXT_PIECE = 10_000
@@ -34,16 +38,32 @@ UNKNOWN = "und"
 MARGIN = 0.002
 
 
+#: Numbers that Python's word class takes in beside decimal digits, like ½ and Ⅷ; without them it is the letters.
+NUMERALS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
+BLANKED = {ord(c): " " for c in NUMERALS}
+
+
 def _clean(text: str) -> bytes:
     """Lower case, letters only, single spaces: digits, marks and layout say nothing about the language."""
-    return " ".join(re.findall(r"[^\W\d_]+", text.lower())).encode("utf-8", "surrogatepass")
+    low = text.lower()
+    if not low.isascii() and not NUMERALS.isdisjoint(low):
+        low = low.translate(BLANKED)
+    return " ".join(re.findall(r"[^\W\d_]+", low)).encode("utf-8", "surrogatepass")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, piece_chars: int = PIECE_CHARS, max_langs: int = MAX_LANGS) -> dict[str, bytes]:
+def spread_pieces(text: Column, chars: int, slices: int) -> Column:
+    """A text of up to ``chars`` characters whole; of a longer one ``slices`` pieces, ``chars`` together, spread evenly over all of it."""
+    size = chars // slices
+    step = (F.length(text) - size) / F.lit(max(slices - 1, 1))
+    cut = [text.substr(F.floor(step * i).cast("int") + 1, F.lit(size)) for i in range(slices)]
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws(" ", *cut))
+
+
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, piece_chars: int = PIECE_CHARS, max_langs: int = MAX_LANGS, slices: int = SLICES) -> dict[str, bytes]:
     """language -> raw dictionary, the language of most rows first, from the rows of ``docs`` (text, lang) with a lang and letters.
 
     More than ``max_langs`` languages raise an error.
@@ -62,7 +82,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, piece_chars: int = PIEC
     chosen = chosen.select("lang", "h", "n")
     # At most max_langs * sample_docs rows of two numbers and a name: a proven bound for the broadcast.
     rows = (known.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"])
-            .groupBy("lang", "n").agg(F.min(F.substring("text", 1, piece_chars)).alias("piece"))
+            .groupBy("lang", "n").agg(F.min(spread_pieces(F.col("text"), piece_chars, slices)).alias("piece"))
             .orderBy("lang", "n").collect())
     pieces: dict[str, list[bytes]] = {r["lang"]: [] for r in sorted(counts, key=lambda r: (-r["n"], r["lang"]))}
     for r in rows:
