@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read again as the next stage's docs. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``; extra columns stay, whatever their names.
+Every stage takes an empty table and gives one. Rows with a null doc_id are
+rows like any other.
 """
 
 from __future__ import annotations
@@ -16,20 +18,20 @@ from corpuslab.llm.queries import vocabulary_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: texts without letters or with too narrow a margin go."""
+    """Documents whose language is known: null texts, texts without letters and those with too narrow a margin go; repeated rows stay or go together."""
     bounded_batches(spark)
     dictionaries = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     return langid.identify(docs, dictionaries, keep=tuple(docs.columns), as_is=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
+    """One document of each SimHash group, the smallest doc_id (null last); of rows repeated with that id one. Null and empty texts are one group."""
     bounded_batches(spark)
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null texts hold none, repeated rows stay or go together."""
     bounded_batches(spark)
     return decontam.remove_leaks(docs, read(spark, sf_dir, "benchmark"))
 
@@ -40,7 +42,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the decoded text's digest."""
+    """Token ids of every document, with the decoded text's digest; a null text is empty, repeated rows repeat."""
     bounded_batches(spark)
     return bpe.encode(docs, vocabulary_path(), keep_ids=True, keep_text=False)
 

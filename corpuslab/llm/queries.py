@@ -18,24 +18,29 @@ def vocabulary_path() -> str:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans of every whole text (see ``pii``): a null text has none; repeated rows repeat."""
     return pii.pii_table(read(spark, sf_dir, "documents"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids' and decoded text's digests of every whole text (see ``bpe``); a null text is empty."""
     bounded_batches(spark)
     return bpe.encode(read(spark, sf_dir, "documents"), vocabulary_path(), keep_ids=False, keep_text=False)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or trees' verdict of every url (see ``url_filter``); null urls are judged by their features."""
     return url_filter.url_verdicts(read(spark, sf_dir, "pages"))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine link groups of all vectors (see ``embedding_dedup``); null, zero or non-finite vectors stand alone."""
     bounded_batches(spark)
     return embedding_dedup.near_groups(read(spark, sf_dir, "embeddings"))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the rows that are not held out (see ``langid``); ``und`` without letters."""
     bounded_batches(spark)
     docs = read(spark, sf_dir, "documents")
     dictionaries = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
@@ -44,26 +49,31 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and group of every document (see ``simhash``); null and empty texts have fingerprint zero."""
     bounded_batches(spark)
     return simhash.simhash_groups(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets found in every whole text (see ``secret_scan``), one row each; null texts have none."""
     bounded_batches(spark)
     return secret_scan.findings(read(spark, sf_dir, "documents")).where("is_secret").drop("is_secret")
 
 
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without bytes of repeated 400-byte strings (see ``passage_dedup``); null texts are empty."""
     bounded_batches(spark)
     return passage_dedup.remove_repeats(read(spark, sf_dir, "documents"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of document and benchmark item it holds (see ``decontam``); null texts and items match nothing."""
     bounded_batches(spark)
     return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page (see ``html_extract``); null and empty pages have an empty one."""
     bounded_batches(spark)
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
