@@ -2,9 +2,16 @@
 
 All native: URL parts, rules and features are column expressions, the suffix
 statistics are one grouped count joined back, and the trees are MLlib's.
-URLs a rule decides are the labelled ones; the trees learn from a bounded
-sample of them (``fit_rows`` per verdict, the lowest hashes of the url), the
-suffix statistics from all of them.
+URLs a rule decides are the labelled ones unless labels are given; the trees
+learn from a bounded sample of them (``fit_rows`` per verdict, the lowest
+hashes of the url), the suffix statistics from all of them.
+
+What a rule says of a suffix must not stand for a label. So a labelled url's
+suffix statistics leave out its own part of the hosts (``PARTS`` parts by a
+hash of the host); a suffix with one verdict only says nothing (the prior: no
+count, block share 0.5); and half of the hosts learn with the prior in place
+of their suffix, so that there are urls of both verdicts by which the trees
+learn to judge a url of an unknown suffix from its other features.
 """
 
 from __future__ import annotations
@@ -32,6 +39,8 @@ FIT_ROWS = 20_000
 TREES = 20
 DEPTH = 4
 SEED = 11
+#: Parts of the hosts for out-of-part suffix statistics.
+PARTS = 5
 FEATURES = ["url_len", "host_len", "path_len", "host_depth", "path_depth", "digit_ratio", "punct_ratio", "entropy",
             "n_params", "query_len", "has_fragment", "is_https", "longest_label", "suffix_n", "suffix_block"]
 
@@ -85,15 +94,30 @@ def lexical_features(urls: DataFrame) -> DataFrame:
         F.array_max(F.transform(labels, F.length)).cast("double").alias("longest_label"))
 
 
+def host_part(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host, F.lit(SEED)), F.lit(PARTS))
+
+
 def suffix_table(labelled: DataFrame) -> DataFrame:
-    """(suffix, suffix_n, suffix_block): log count and smoothed block share of each last host label, over all labelled urls."""
-    total = F.count("*")
-    return labelled.groupBy("suffix").agg(
-        F.log1p(total.cast("double")).alias("suffix_n"),
-        ((F.sum(F.col("label")) + 1.0) / (total + 2.0)).alias("suffix_block"))
+    """(suffix, part, n, blocked): labelled urls of each last host label with those that block, beside those of each part of the hosts.
+
+    A row for each part from 0, without that part's own urls, and one for part -1 with all of them.
+    """
+    each = labelled.groupBy("suffix", host_part(F.col("host")).alias("part")).agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
+    whole = each.groupBy("suffix").agg(F.sum("n").alias("all_n"), F.sum("blocked").alias("all_blocked"))
+    rest = each.join(whole, "suffix").select("suffix", "part", (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_blocked") - F.col("blocked")).alias("blocked"))
+    return rest.unionByName(whole.select("suffix", F.lit(-1).cast("long").alias("part"), F.col("all_n").alias("n"), F.col("all_blocked").alias("blocked")))
 
 
-def url_verdicts(pages: DataFrame, rules=RULES, fit_rows: int = FIT_ROWS, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+def with_suffix(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Adds suffix_n (log count) and suffix_block (smoothed block share); the prior where ``part`` is null or the suffix has one verdict only."""
+    both = (F.col("n") > 0) & (F.col("blocked") > 0) & (F.col("blocked") < F.col("n"))
+    joined = rows.join(table, ["suffix", "part"], "left")
+    return joined.select(*rows.columns, F.when(both, F.log1p(F.col("n").cast("double"))).otherwise(0.0).alias("suffix_n"),
+                         F.when(both, (F.col("blocked") + 1.0) / (F.col("n") + 2.0)).otherwise(0.5).alias("suffix_block"))
+
+
+def url_verdicts(pages: DataFrame, rules=RULES, fit_rows: int = FIT_ROWS, trees: int = TREES, depth: int = DEPTH, hidden_part: int | None = None) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, block_probability.
 
     A rule's verdict stands; other urls get the trees' (block at probability
@@ -102,7 +126,8 @@ def url_verdicts(pages: DataFrame, rules=RULES, fit_rows: int = FIT_ROWS, trees:
     only one class to learn from, that class is the verdict of the rest; with
     no labelled url at all the rest is allowed (probability null in both
     cases). Equal urls get equal verdicts; columns besides page_id and url
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows. With ``hidden_part`` the labels
+    of that part of the hosts are not learned from, to measure the trees on them.
     """
     host, path = url_parts(F.col("url"))
     rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
@@ -112,10 +137,14 @@ def url_verdicts(pages: DataFrame, rules=RULES, fit_rows: int = FIT_ROWS, trees:
         "*", F.substring_index("host", ".", -1).alias("suffix"), (F.col("rule_verdict") == "block").cast("double").alias("label"))
 
     labelled = rows.where(F.col("label").isNotNull())
-    # A labelled url must not see its own label in its suffix's statistics alone: the counts are smoothed over all of them.
+    if hidden_part is not None:
+        labelled = labelled.where(host_part(F.col("host")) != hidden_part)
     suffixes = scratch_table(suffix_table(labelled))
-    rows = rows.join(suffixes, "suffix", "left").fillna(0.0, ["suffix_n"]).fillna(0.5, ["suffix_block"])
-    known = rows.where(F.col("label").isNotNull()).select("label", "url", *FEATURES)
+    part = host_part(F.col("host"))
+    # Every second host learns without its suffix.
+    learns = F.when(F.pmod(F.xxhash64("host", F.lit(SEED + 1)), F.lit(2)) == 0, part)
+    known = with_suffix(labelled.withColumn("part", learns), suffixes).select("label", "url", *FEATURES)
+    rows = with_suffix(rows.withColumn("part", F.lit(-1).cast("long")), suffixes)
     # At most fit_rows of each verdict: an ordered limit keeps fit_rows rows per task before anything moves.
     picks = [known.where(F.col("label") == v).orderBy(F.xxhash64("url"), "url").limit(fit_rows) for v in (0.0, 1.0)]
     sample = scratch_table(picks[0].unionAll(picks[1]).select("label", *FEATURES))
@@ -135,3 +164,9 @@ def url_verdicts(pages: DataFrame, rules=RULES, fit_rows: int = FIT_ROWS, trees:
     learned = F.when(chance.isNull(), F.lit(only)).when(chance >= 0.5, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", learned).alias("verdict"),
                        chance.alias("block_probability"))
+
+
+def held_out_report(pages: DataFrame, part: int = 0, **settings) -> DataFrame:
+    """(verdict, says, n): what the rules say of the labelled urls of hosts that were hidden in training, and what the trees say."""
+    judged = url_verdicts(pages, hidden_part=part, **settings).where(F.col("rule").isNotNull() & (host_part(F.col("host")) == part))
+    return judged.groupBy("verdict", F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow").alias("says")).agg(F.count("*").alias("n"))
