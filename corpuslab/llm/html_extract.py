@@ -9,10 +9,12 @@ sit in the same article as a content path, or beside it in the same parent,
 are content as well, so short paragraphs and headings stay. Menus, page
 headers and footers, asides, forms, adverts, notices and reader comments are
 known by tag, role, class or id and do not count. A class or id only proposes:
-it must name the element (``has-sidebar`` names another one), and an element
-that holds the page's article, or most of the text of its article or page, is
-a wrapper and stays, as does a form around the page. Pages are independent:
-one narrow pass.
+it must name the element (``has-sidebar`` names another one, ``related-work``
+is a topic), and an element that holds the page's article, or most of the text
+of its article or page, is a wrapper and stays, as does a form around the
+page. Text that is mostly links is navigation outside the article; inside it
+only a run of many such blocks is (a linked title or two sources are text).
+Pages are independent: one narrow pass.
 """
 
 from __future__ import annotations
@@ -31,11 +33,15 @@ from pyspark.sql import functions as F
 SPREAD = 0.5
 #: Blocks whose text is links to more than this share are navigation.
 LINKS = 0.6
+#: So many such blocks of one path are navigation even inside an article.
+MANY_LINKS = 5
 #: An element marked as layout with this share of its article's or page's text is a wrapper; one marked otherwise needs more.
 WRAPPER = 0.5
 WRAPPER_OTHER = 0.8
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*>""", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*>|<[a-zA-Z][^>]*>""", re.S)
+#: A tag whose quotes do not close: it ends at the next angle bracket and has no attributes.
+_BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PUNCT = re.compile(r"[.,;:!?。，！？；：]")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,6 +62,17 @@ _MARKS = frozenset(
 _LAYOUT = frozenset("form nav navbar navigation menu sidebar aside footer header masthead topbar banner widget toolbar social tags".split())
 #: Inside an article these mark the article's own head.
 _HEADS = frozenset("header masthead banner".split())
+#: Words that may stand beside a mark in a token; with any other word the token is a topic (share-price, social-history).
+_BESIDE = frozenset(
+    "area article articles bar block blocks body bottom box button buttons card cards center col column container content count counts "
+    "desktop entry field fields fixed floating form forms global google grid group head hidden icon icons inline inner item items label large "
+    "leaderboard left link links list lists main message messages mobile module news number outer page panel placement post posts primary "
+    "region right row secondary section site skyscraper slot small sticky stories story text thread threads title toggle tools top trigger "
+    "unit wide wrap wrapper zone".split())
+#: Marks that are topics too; on a text element they say what it is about.
+_TOPICS = frozenset(
+    "alert login notice notices promotion recommended related reply replies respond share sharing signup skip social sponsor subscription tags".split())
+_TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td th dd dt figcaption caption".split())
 #: First words of tokens that say something about an element and do not name it.
 _STATES = frozenset("has have with no not without is are can show shows hide hides js uses use supports enable enabled disable disabled".split())
 _CLOSES_P = frozenset(
@@ -95,9 +112,11 @@ def _label(name: str, attrs: str) -> tuple[str, bool, set[str]]:
                 marks.extend(value.split())
     named = {"form"} if name == "form" or role == "form" else set()
     for m in marks:
-        words = [w for w in re.split(r"[^a-z]+", m) if w]
-        if words and words[0] not in _STATES:
-            named |= _MARKS.intersection(words)
+        words = {w for w in re.split(r"[^a-z]+", m) if w}
+        if words and re.split(r"[^a-z]+", m.lstrip("-_0123456789"))[0] not in _STATES and words <= _MARKS | _BESIDE:
+            named |= words & _MARKS
+    if name in _TEXT_ELEMENTS:
+        named -= _TOPICS
     return ".".join([name, *sorted(marks)]), role in _ROLES, named
 
 
@@ -137,10 +156,13 @@ def blocks(page: str | None) -> list[Block]:
             break
         add(page[at:m.start()])
         at = m.end()
-        name = (m.group(2) or "").lower()
+        closing, name, attrs = m.group(1), (m.group(2) or "").lower(), m.group(3) or ""
         if not name:
-            continue  # a comment, doctype or other declaration
-        if m.group(1):
+            broken = _BROKEN.match(m.group())
+            if broken is None:
+                continue  # a comment, doctype or other declaration
+            closing, name = broken.group(1), broken.group(2).lower()
+        if closing:
             if name in _INLINE or any(s[0] == name for s in stack):
                 if name not in _INLINE:
                     flush()
@@ -169,7 +191,7 @@ def blocks(page: str | None) -> list[Block]:
                 _close(stack, {"p"}, {"article", "section", "div", "td", "th", "li", "body", "main", "blockquote", "table"})
             if name in _CLOSES_SAME:
                 _close(stack, _CLOSES_SAME[name], _SCOPE[name])
-        label, role, named = _label(name, m.group(3))
+        label, role, named = _label(name, attrs)
         _, _, held, holds, article = stack[-1] if stack else ("", "", False, (), None)
         in_article = any(s[0] in ("article", "main") for s in stack)
         never = held or role or name in _NEVER or (name == "header" and not in_article)
@@ -179,7 +201,7 @@ def blocks(page: str | None) -> list[Block]:
                 named = set()
         if in_article:
             named -= _HEADS
-        if m.group(3).endswith("/") and name not in ("p", "div"):
+        if attrs.endswith("/") and name not in ("p", "div"):
             continue
         if not held and name in ("article", "main"):
             if article is None:
@@ -273,8 +295,10 @@ def content_paths(bs: list[Block], spread: float = SPREAD) -> set[tuple[str, ...
     # The article the best path stands in, else its parent: what stands there too belongs to it.
     tops = [k for k, label in enumerate(best) if label.split(".")[0] in ("article", "main")]
     top = best[:tops[0] + 1] if tops else best[:-1]
-    inside = {p for p in ratio if p[:len(top)] == top and p not in linked}
-    return inside if tops else chosen | inside
+    if tops:
+        return {p for p in ratio if p[:len(top)] == top and not (p in linked and stat[p][3] >= MANY_LINKS)}
+    titles = {p for p in linked if stat[p][3] == 1 and re.match(r"h[1-6](\.|$)", p[-1] if p else "")}
+    return chosen | {p for p in ratio if p[:len(top)] == top and (p not in linked or p in titles)}
 
 
 def main_text(page: str | None, spread: float = SPREAD) -> str:
