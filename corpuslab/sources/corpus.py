@@ -12,13 +12,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpuslab.operators.clean import dedup_rows
+from corpuslab.operators.joins import lookup_join
+from corpuslab.session import remove_scratch, write_scratch
 
-DEFAULT_NA = ("NA", "N/A", "NaN", "nan", "null", "NULL", "")
+# The markers that the usual CSV readers of data frames take for missing.
+DEFAULT_NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+              "n/a", "nan", "null")
 
 # Spark's CSV reader takes canonical charset names only.
 CHARSET_ALIASES = {"latin-1": "iso-8859-1", "latin1": "iso-8859-1", "l1": "iso-8859-1", "utf8": "utf-8",
@@ -33,12 +39,16 @@ def canonical_charset(name: str | None) -> str:
 COPIES_PER_BLOCK = 1 << 20
 
 
-def with_content_key(df: DataFrame, key: str = "doc_id", copies_per_block: int = COPIES_PER_BLOCK) -> DataFrame:
-    """Deterministic ``key`` from content: hash(row) and rank among identical copies.
+def with_content_key(df: DataFrame, key: str = "doc_id", copies_per_block: int = COPIES_PER_BLOCK, hash_of: Callable[..., Column] = F.xxhash64) -> DataFrame:
+    """Deterministic, unique ``key`` from content: hash(row) and rank among identical copies.
 
     Copies are re-expanded in two steps - blocks of ``copies_per_block``
     spread over tasks, then the copies of each block - so a row copied a
     billion times is not regenerated by a single task.
+
+    Rows whose 64-bit hashes collide are ranked by their content; the first
+    keeps the hash and the others get the hash of hash and rank, until all
+    keys differ. What is ranked is only the rows that collide.
     """
     cols = df.columns
     counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
@@ -51,7 +61,24 @@ def with_content_key(df: DataFrame, key: str = "doc_id", copies_per_block: int =
     expanded = blocks.select(*cols, F.explode(F.sequence(lo, hi)).alias("_dup"))
     # The hash skips nulls, so each column comes with its null mark.
     marked = [x for c in cols for x in (F.col(c).isNull(), F.col(c))]
-    return expanded.select(F.xxhash64(*marked, "_dup").alias(key), *cols)
+    keyed, path = write_scratch(expanded.select(hash_of(*marked, "_dup").alias("_key"), *cols, "_dup"))
+    paths, attempt = [path], 0
+    while True:
+        again = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+        again, path = write_scratch(again)
+        paths.append(path)
+        if not again.limit(1).count():
+            break
+        attempt += 1
+        hit = lookup_join(keyed, again, "_key", how="left_semi")
+        rank = F.row_number().over(Window.partitionBy("_key").orderBy(*[F.col(c).asc_nulls_first() for c in cols], "_dup")) - 1
+        moved = hit.withColumn("_rank", rank).withColumn(
+            "_key", F.when(F.col("_rank") == 0, F.col("_key")).otherwise(F.xxhash64("_key", "_rank", F.lit(attempt)))).drop("_rank")
+        keyed, path = write_scratch(lookup_join(keyed, again, "_key", how="left_anti").unionByName(moved))
+        paths.append(path)
+    for p in (*paths[:-2], paths[-1]):      # all but the last keyed table, which is returned
+        remove_scratch(df.sparkSession, p)
+    return keyed.select(F.col("_key").alias(key), *cols)
 
 
 def read_labelled_csv(spark: SparkSession, path: str | list[str], target: str, encoding: str = "utf-8",

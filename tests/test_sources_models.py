@@ -179,6 +179,22 @@ def test_content_key_blocks(spark):
     assert sorted(r.doc_id for r in small) == sorted(r.doc_id for r in big) and len({r.doc_id for r in small}) == 9
 
 
+def test_content_keys_survive_forced_collisions(spark):
+    """Every row has a key of its own, the same for any layout, even if the hash is no help at all."""
+    rows = [("a", None), ("a", None), ("b", "x"), (None, "b"), ("c", "d"), ("e", "f")]
+    df = spark.createDataFrame(rows, "p string, q string")
+    for bad in (lambda *c: F.lit(7).cast("long"), lambda *c: F.pmod(F.xxhash64(*c), F.lit(2))):
+        got = [sorted(map(str, SRC.with_content_key(d, hash_of=bad).collect())) for d in (df, df.repartition(4))]
+        assert got[0] == got[1] and len({r.doc_id for r in SRC.with_content_key(df, hash_of=bad).collect()}) == len(rows)
+    assert {r.doc_id for r in SRC.with_content_key(df).collect()} == {r.doc_id for r in SRC.with_content_key(df.repartition(3)).collect()}
+
+
+def test_missing_markers(spark, scratch):
+    path = os.path.join(scratch, "na.csv")
+    _write(path, "text,y\n" + "".join(f"{m},1\n" for m in ("None", "n/a", "#N/A", "<NA>", "-nan", "nan", "NULL", "none")))
+    assert [r.text for r in SRC.read_labelled_csv(spark, path, "y").collect()] == [None] * 7 + ["none"]
+
+
 def test_reference_registry_entries(spark, scratch):
     reg = SRC.reference_registry(scratch)
     assert set(reg) == {"20_Newsgroups", "IMDB_Reviews", "Pt_Tweets_SA", "SMS_SPAM", "WELFake", "AG_News"}
