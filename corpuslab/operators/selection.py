@@ -32,7 +32,7 @@ def select_ranks(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame
     # A null-safe key for the joins: is it null, and its text or nothing.
     safe = lambda df: df.select(*[F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")).alias(g) for k, g in zip(keys, group)], "*")
     data = safe(rows.where(F.col(value).isNotNull())).select(*group, F.col(value).cast("double").alias("_v"))
-    state = materialize(safe(wanted).withColumn("below", F.lit(0).cast("long")).withColumnRenamed("n", "size"))
+    state = safe(wanted).withColumn("below", F.lit(0).cast("long")).withColumnRenamed("n", "size")
     span = [*group, "lo", "hi"]
     while True:
         going = state.where(f"lo < hi AND size > {SORTED_ROWS}")
