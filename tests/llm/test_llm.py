@@ -116,6 +116,28 @@ def test_url_rules_and_verdicts(spark):
     assert url_filter.url_verdicts(df.limit(0)).count() == 0
 
 
+def test_url_trees_judge(spark):
+    """Both verdicts among undecided urls, by other features than the suffix; better than chance on hosts they never saw."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = url_filter.url_verdicts(pages).where("rule IS NULL").collect()
+    for suffix in ("net", "org"):
+        mine = [r for r in rows if r.host.endswith("." + suffix)]
+        assert {r.verdict for r in mine} == {"allow", "block"} and len({r.block_probability for r in mine}) > 50
+    said = {(r.verdict, r.says): r.n for r in url_filter.held_out_report(pages).collect()}
+    rate = lambda v: said.get((v, v), 0) / sum(n for (w, _), n in said.items() if w == v)
+    assert (rate("allow") + rate("block")) / 2 > 0.55, said
+
+
+def test_url_edges(spark):
+    rows = [(1, None), (1, None), (2, ""), (3, "http://a.com/" + "x/" * 50_000), (4, "http://b.org/?" + "&" * 10_000), (None, "http://c.net/es/"), (5, "no parts"), (5, "no parts")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    clash = ["host", "path", "suffix", "label", "part", "n", "blocked", "features", "probability", "weight"]
+    got = url_filter.url_verdicts(df.select("*", *[F.lit("x").alias(c) for c in clash]), trees=2).collect()
+    assert len(got) == len(rows) and all(r.verdict in ("allow", "block") for r in got)
+    one = url_filter.url_verdicts(df.where("page_id = 3 OR page_id = 4 OR page_id = 5"), trees=2).collect()     # one class to learn from
+    assert {r.verdict for r in one} == {"allow"}
+
+
 # ---------------------------------------------------------------- 4 embeddings
 
 def brute_groups(ids, x, threshold=0.9):
@@ -351,6 +373,41 @@ def test_main_text_in_marked_wrappers():
         assert html_extract.main_text(f"<html><body>{page}</body></html>") == want, page
 
 
+def test_main_text_keeps_article_text():
+    body = "<p>First para, rather long, with text.</p><p>Second para, as long, with text.</p>"
+    rest = "First para, rather long, with text. Second para, as long, with text."
+    sources = '<ul><li><a href="a">Source one</a></li><li><a href="b">Source two</a></li></ul>'
+    for part, text in (('<h1><a href="x">My Linked Title</a></h1>', "My Linked Title "), (sources, "Source one Source two "),
+                       ('<div class="related-work"><p>Work, done before.</p></div>', "Work, done before. "), ('<p class="social-history">Long ago.</p>', "Long ago. "),
+                       ('<div class="share-price"><p>It rose, then fell.</p></div>', "It rose, then fell. "), ('<p class="share">Shares, all.</p>', "Shares, all. "),
+                       ('<div class="open>Opened.</div>', "Opened. "), ('<div class="related-posts"><p>More, here.</p></div>', ""), ('<div class="ad-slot">Buy, now.</div>', ""),
+                       ("<ul>" + '<li><a href="a">elsewhere</a></li>' * 6 + "</ul>", "")):
+        assert html_extract.main_text(f"<html><body><nav>menu</nav><article>{part}{body}</article><footer>end</footer></body></html>") == text + rest, part
+    assert html_extract.main_text(f'<body><div id="post"><h1><a href="x">Linked</a></h1>{body}</div><div><a href="y">Elsewhere, far</a></div>') == f"Linked {rest}"
+
+
+def test_main_text_table_edges(spark):
+    rows = [(1, None, None), (1, None, None), (2, "u", ""), (None, None, "<p>A &amp; b, c."), (3, "u", "<article><p>" + "Long, text. " * 100_000 + "</p></article>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", F.lit(1).alias("text"), F.lit("x").alias("n_chars"))
+    got = html_extract.extract(df).collect()
+    assert sorted(((r.page_id or 0), r.url, r.n_chars) for r in got if r.url) == [(2, "u", 0), (3, "u", 1_199_999)]
+    assert sorted(r.text for r in got if not r.url) == ["", "", "A & b, c."] and html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_language_needs_letters():
+    known = (("en", b"the of and to"), ("de", b"der die das und"))
+    for text in ("½ ²", "① Ⅷ", "12 3", "", None, "_ -"):
+        assert langid.classify(text, known) == ("und", 0.0, 0.0)
+    assert langid._clean("½a²bⅧ c_d 你好 É") == "a b c d 你好 é".encode()
+
+
+def test_language_sample_is_spread_over_the_text(spark):
+    df = spark.createDataFrame([("".join(chr(97 + i) * 100 for i in range(26)),), ("short",), ("x" * 50,)], "t string")
+    got = [r[0] for r in df.select(langid.spread_pieces(F.col("t"), 50, 5)).collect()]
+    assert got[0].split() == ["a" * 10, "g" * 10, "m" * 2 + "n" * 8, "t" * 10, "z" * 10] or [w[0] for w in got[0].split()] == ["a", "g", "m", "t", "z"]
+    assert got[1:] == ["short", "x" * 50]
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline(spark):
