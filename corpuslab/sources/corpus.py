@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 from corpuslab.operators.clean import dedup_rows
 from corpuslab.operators.joins import lookup_join
 from corpuslab.session import remove_scratch, write_scratch
+from corpuslab.sources.csv_split import CHARSETS, read_quoted_csv
 
 # The markers that the usual CSV readers of data frames take for missing.
 DEFAULT_NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
@@ -84,12 +85,19 @@ def with_content_key(df: DataFrame, key: str = "doc_id", copies_per_block: int =
 def read_labelled_csv(spark: SparkSession, path: str | list[str], target: str, encoding: str = "utf-8",
                       sep: str = ",", schema: StructType | None = None,
                       na_values: tuple[str, ...] = DEFAULT_NA) -> DataFrame:
-    """IO1: a CSV with a header; ``target`` becomes ``label``; pandas-like missing markers -> null."""
-    reader = (spark.read.option("header", True).option("sep", sep or ",")
-                   .option("encoding", canonical_charset(encoding))
-                   .option("multiLine", True).option("quote", '"').option("escape", '"'))
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", False)
-    df = reader.csv(path)
+    """IO1: a CSV with a header; ``target`` becomes ``label``; pandas-like missing markers -> null.
+
+    A file is read by many tasks, line breaks inside quoted fields included;
+    files in a charset that ``csv_split`` does not know, or with a separator
+    of several characters, go to Spark's reader, one task a file.
+    """
+    charset = canonical_charset(encoding)
+    if charset in CHARSETS and len(sep or ",") == 1:
+        df = read_quoted_csv(spark, path, charset, sep or ",", schema)
+    else:
+        reader = (spark.read.option("header", True).option("sep", sep or ",").option("encoding", charset)
+                       .option("multiLine", True).option("quote", '"').option("escape", '"'))
+        df = (reader.schema(schema) if schema is not None else reader.option("inferSchema", False)).csv(path)
     if target not in df.columns:
         raise ValueError(f"target column {target!r} not in {df.columns}")
     out = df.select(*[F.when(F.col(f"`{c}`").isin(*na_values), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c)
