@@ -52,3 +52,17 @@ def test_counts_and_weights_beyond_the_broadcast_bound(spark, monkeypatch):
     for r in weights:
         c = Counter(WORDS[r.doc_id])
         assert abs(r.weight - c[r.term] * idf[r.term] / math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))) < 1e-12
+
+
+def test_vocabulary_query_holds_no_cells(spark, tmp_path):
+    from corpuslab.plans.text_queries import bow_counts, bow_vocabulary
+
+    spark.catalog.clearCache()
+    rows = [(1, "Cats sleep on mats", "en", "a", 18), (2, None, "de", "a", 0), (3, "cats run", None, None, 8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert {r.term: (r.term_id, r.df, r.cf) for r in bow_vocabulary(spark, str(tmp_path)).collect()} == {
+        "cats": (0, 2, 2), "mats": (1, 1, 1), "run": (2, 1, 1), "sleep": (3, 1, 1)}
+    got = sorted((r.doc_id, -1 if r.term_id is None else r.term_id, r["count"]) for r in bow_counts(spark, str(tmp_path)).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (1, 3, 1), (2, -1, 0), (3, 0, 1), (3, 2, 1)]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
