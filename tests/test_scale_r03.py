@@ -66,3 +66,21 @@ def test_vocabulary_query_holds_no_cells(spark, tmp_path):
     got = sorted((r.doc_id, -1 if r.term_id is None else r.term_id, r["count"]) for r in bow_counts(spark, str(tmp_path)).collect())
     assert got == [(1, 0, 1), (1, 1, 1), (1, 3, 1), (2, -1, 0), (3, 0, 1), (3, 2, 1)]
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_lemmas_move_only_changed_words(spark, monkeypatch):
+    _small_bounds(monkeypatch)
+    names = ["cat", "dog", "box", "fox", *[f"n{i}x" for i in range(60)]]
+    lexicon = spark.createDataFrame([(w,) for w in names], "word string")
+    plural = lambda w: w + "s" if not w.endswith("ox") else w + "es"
+    every = [plural(w) for w in names]
+    rows = [(1, [*every, "the", None, "cats", "", *every]), (1, ["dogs", "stays"]), (None, ["cat"]), (3, []), (4, None)] + [(9, ["cats", "dogs"])] * 6
+    df = spark.createDataFrame(rows, "doc_id long, words array<string>")
+    out = lemmatize_arrays(df, "words", lexicon)
+    assert out.columns == ["doc_id", "words"]
+    back = {plural(w): w for w in names}
+    want = [(k, None if ws is None else [back.get(w, w) for w in ws if w is not None]) for k, ws in rows]
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted([(r.doc_id, r.words) for r in out.collect()], key=key) == sorted(want, key=key)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "_salt" not in plan
