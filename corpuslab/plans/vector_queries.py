@@ -22,7 +22,7 @@ from corpuslab.operators.pooling import explode_vector, mean_pool
 from corpuslab.plans import sqlfrag as S
 from corpuslab.plans.inputs import documents, r6, rich_documents
 from corpuslab.plans.oracle import CLEAN_DEFAULT, RICH
-from corpuslab.session import materialize
+from corpuslab.session import write_scratch
 
 # ------------------------------------------------------------------ lemmas
 
@@ -60,7 +60,7 @@ def tokens_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bow_vocabulary_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1a over lemmas."""
     docs = documents(spark, sf_dir)
-    toks = materialize(_lemma_tokens(spark, sf_dir, docs).select("doc_id", K.analyzer_tokens(F.col("tokens")).alias("tokens")))
+    toks = _lemma_tokens(spark, sf_dir, docs).select("doc_id", K.analyzer_tokens(F.col("tokens")).alias("tokens"))
     vocab = fit_vocabulary(term_frequencies(toks), docs.count())
     return vocab.table.select("term", F.col("term_id").cast("long").alias("term_id"), "df", "cf")
 
@@ -133,24 +133,21 @@ WORD_FEATURES = ["length(word)", "length(word) - length(replace(word, 'e', ''))"
 WORD_VECTOR_DIM = len(WORD_FEATURES)
 
 
-def corpus_word_vectors(tokens: DataFrame) -> DataFrame:
-    """``(word, vector array<float>)`` for every distinct token of 3+ letters."""
-    words = tokens.select(F.col("term").alias("word")).distinct().filter(F.length("word") >= 3)
+def corpus_word_vectors(cells: DataFrame) -> DataFrame:
+    """``(word, vector array<float>, n)`` for every distinct term of 3+ letters; ``n``: its rows in ``cells``."""
+    words = (cells.groupBy(F.col("term").alias("word")).agg(F.count(F.lit(1)).cast("long").alias("n"))
+                  .filter(F.length("word") >= 3))
     feats = [F.expr(e.format(g="")).cast("float") for e in WORD_FEATURES]
-    return words.select("word", F.array(*feats).alias("vector"))
-
-
-def _doc_terms(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    gen, keep = K.explode_items(K.vectorizer_tokens(F.col("text")), "term")
-    return docs.select("doc_id", gen).filter(keep), docs
+    return words.select("word", F.array(*feats).alias("vector"), "n")
 
 
 def pretrained_doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4/T-avg: mean word vector per document over known words, zeros when none (long form)."""
-    terms, docs = _doc_terms(spark, sf_dir)
-    vecs = materialize(corpus_word_vectors(terms))
-    pooled = mean_pool(terms, vecs, WORD_VECTOR_DIM, docs=docs)
+    docs = documents(spark, sf_dir)
+    toks, _ = write_scratch(docs.select("doc_id", K.vectorizer_tokens(F.col("text")).alias("tokens")))
+    cells = term_frequencies(toks)
+    vecs, _ = write_scratch(corpus_word_vectors(cells))
+    pooled = mean_pool(cells, vecs, WORD_VECTOR_DIM, docs=toks, count_col="tf", rows_per_key="n")
     long = explode_vector(pooled, "doc_id")
     return long.select("doc_id", F.col("dim").cast("long").alias("dim"), r6(F.col("value").cast("double")).alias("value"))
 

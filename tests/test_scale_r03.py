@@ -84,3 +84,17 @@ def test_lemmas_move_only_changed_words(spark, monkeypatch):
     assert sorted([(r.doc_id, r.words) for r in out.collect()], key=key) == sorted(want, key=key)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan and "_salt" not in plan
+
+
+def test_pooling_by_counted_cells(spark, monkeypatch):
+    cells = term_frequencies(_docs(spark))
+    n = cells.groupBy(F.col("term").alias("word")).agg(F.count(F.lit(1)).alias("n")).filter(F.length("word") >= 3)
+    _small_bounds(monkeypatch)
+    for dim in (2, 20):
+        vecs = n.select("word", F.array(*[(F.length("word") + i).cast("float") for i in range(dim)]).alias("vector"), "n")
+        pooled = mean_pool(cells, vecs, dim, docs=_docs(spark), count_col="tf", rows_per_key="n")
+        got = {r.doc_id: r.vector for r in pooled.collect()}
+        assert got[100] == got[101] == [0.0] * dim and len(got) == 42
+        for i, ws in enumerate(WORDS):
+            mean = sum(len(w) for w in ws if len(w) >= 3) / sum(len(w) >= 3 for w in ws)
+            assert all(abs(got[i][k] - mean - k) < 1e-5 for k in range(dim))
