@@ -98,3 +98,18 @@ def test_pooling_by_counted_cells(spark, monkeypatch):
         for i, ws in enumerate(WORDS):
             mean = sum(len(w) for w in ws if len(w) >= 3) / sum(len(w) >= 3 for w in ws)
             assert all(abs(got[i][k] - mean - k) < 1e-5 for k in range(dim))
+
+
+def test_cleaning_patterns_as_in_their_plain_form(spark):
+    texts = ["a b", " a  b ", "a\tb", "a  b\n\nc", "\n", "", None, "x  y", "ra> hi", "abcd> hi", "éab> hi", "ab> cd>\t x>y", "a>b> c", ">q\n|r",
+             "mail a.b@x.org now", "é.b@x.org", "éb@x.org", ".b@x.org", "x.b@x.org", "_a%b@x.y.co|m,", "a@b", "a@b.cc1", "%+-@x.org", "a-@x.org z", "a@@b.org",
+             "1a@x.orgé", "😀a@x.org", "😀.a@x.org", "ab@cd@ef.gh"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain_marker = rf"(?<![{T.W}])[a-zA-Z]{{1,3}}>[{T.WS}]*"
+    plain_mail = T.BOUNDARY + r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}" + T.BOUNDARY
+    new_mail = T.EMAIL_START + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}" + T.BOUNDARY
+    for plain, new, by in ((f"[{T.WS}]+", T.WS_RUN, " "), (plain_marker, T.SHORT_MARKER, ""), (plain_mail, new_mail, "")):
+        for r in df.select("t", F.regexp_replace("t", plain, by).alias("a"), F.regexp_replace("t", new, by).alias("b")).collect():
+            assert r.a == r.b, r.t
+    # A text that is squashed already is left as it is, without a replacement for every word.
+    assert df.select(F.regexp_count(F.lit("one two three"), F.lit(T.WS_RUN))).first()[0] == 0
