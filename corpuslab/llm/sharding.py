@@ -28,11 +28,10 @@ result are replaced by it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,25 +127,24 @@ def place(keys: np.ndarray, layout: Tree) -> tuple[np.ndarray, np.ndarray, np.nd
     return shard, region, rack
 
 
-def _place_udf(layout: Tree):
-    def placed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for keys in batches:
-            s, r, k = place(keys.to_numpy(np.int64), layout)
-            yield pd.DataFrame({"shard": s.astype(np.int32), "region": r.astype(np.int32), "rack": k.astype(np.int32)})
+def _place_udf(layout: Tree, grown: Tree | None):
+    """Both trees' draws in one call: two chained calls would keep two Python workers a core."""
+    def placed(keys: pa.Array) -> pa.Array:
+        at = place(keys.to_numpy(), layout)
+        then = place(keys.to_numpy(), grown)[0].astype(np.int32) if grown is not None else pa.nulls(len(keys), pa.int32())
+        return pa.StructArray.from_arrays([*(pa.array(x.astype(np.int32)) for x in at), pa.array(then, pa.int32())], ["shard", "region", "rack", "grown_shard"])
 
-    placed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(placed, "shard int, region int, rack int")
+    return F.arrow_udf(placed, "shard int, region int, rack int, grown_shard int")
 
 
 def assign(df: DataFrame, key: Column, layout: Tree, grown: Tree | None = None) -> DataFrame:
     """``df`` with shard, region and rack of its key, and grown_shard, its shard in the ``grown`` tree (null without one)."""
     if not layout.shards or not any(s.weight for s in layout.shards):
         raise ValueError("no shard has a weight")
-    hashed = F.xxhash64(key)
-    out = df.withColumn("_at", _place_udf(layout)(hashed))
-    out = out.withColumn("_then", _place_udf(grown)(hashed) if grown is not None else F.lit(None).cast("struct<shard:int>"))
-    return (out.withColumn("shard", F.col("_at.shard")).withColumn("region", F.col("_at.region")).withColumn("rack", F.col("_at.rack"))
-            .withColumn("grown_shard", F.col("_then.shard")).drop("_at", "_then"))
+    out = df.withColumn("_at", _place_udf(layout, grown)(F.xxhash64(key)))
+    for c in ("shard", "region", "rack", "grown_shard"):
+        out = out.withColumn(c, F.col(f"_at.{c}"))
+    return out.drop("_at")
 
 
 def with_slots(assigned: DataFrame, order: list[str]) -> DataFrame:

@@ -129,6 +129,14 @@ def test_shards_do_not_depend_on_the_layout_and_are_written(spark, scratch):
     assert sum(r.n_rows for r in report) == docs.count() and sum(r.n_moving for r in report) == rows.where("grown_shard = 4").count()
 
 
+def test_both_trees_are_drawn_in_one_python_call(spark):
+    docs = spark.createDataFrame(edge_rows(), DOCS)
+    rows = sharding.assign(docs, F.col("doc_id"), sharding.tree(4), sharding.tree(5))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
+    assert all(r.shard is not None and r.grown_shard in (r.shard, 4) for r in rows.collect())
+    assert {r.grown_shard for r in sharding.assign(docs, F.col("doc_id"), sharding.tree(4)).collect()} == {None}
+
+
 # ---------------------------------------------------------------- 12 conversations
 
 SPACE = " \t\n\x0b\x0c\r"
