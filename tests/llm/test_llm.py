@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
+import tempfile
 
 import numpy as np
 import pytest
@@ -166,6 +168,47 @@ def test_embedding_groups_equal_brute_force(spark, cell_rows):
     assert embedding_dedup.near_groups(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_keeps_no_table_of_visits(spark, monkeypatch):
+    """Random vectors visit nearly all cells: what is written must not grow with the cells, and groups stay those of brute force."""
+    monkeypatch.setattr(embedding_dedup, "WAVE_ROWS", 64, raising=False)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 64)).astype(np.float32)
+    x[1::7] = x[::7][:len(x[1::7])] + rng.normal(size=x[1::7].shape).astype(np.float32) * 0.3
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    folder = tempfile.mkdtemp(prefix="corpuslab-test-")
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(folder)
+    try:
+        # Nothing but the tables of vectors and visits is large: every vector is written once.
+        monkeypatch.setattr(embedding_dedup, "remove_scratch", lambda *_: None, raising=False)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_groups(df, cell_rows=60).collect()}
+        written = sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs if f.endswith(".parquet"))
+    finally:
+        spark.sparkContext.setCheckpointDir(before)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.9
+    np.fill_diagonal(link, False)
+    assert link.sum() > 100 and [got[i][0] for i in range(len(x))] == link.sum(axis=1).tolist()
+    least = np.arange(len(x))
+    for _ in x:
+        new = np.minimum(least, np.where(link, least[None, :], len(x)).min(axis=1))
+        if (new == least).all():
+            break
+        least = new
+    assert [got[i][1] for i in range(len(x))] == least.tolist()
+    assert written < 3 * x.size * 8
+
+
+def test_embedding_waves_hold_every_share_once():
+    sizes = [(0, 100, 950), (1, 10, 0), (3, 530, 70), (4, 1, 1)]
+    for wave_rows in (1, 300, 10_000):
+        waves = embedding_dedup.plan_waves(sizes, 100, wave_rows)
+        got = sorted((c, lo, hi) for w in waves for c, _, _, lo, a, b in w for hi in range(a, b))
+        want = [(c, lo, hi) for c, own, v in sizes for n in [max(1, round(own / 100))] for lo in range(n) for hi in range(lo, n + -(-v // 100))]
+        assert got == sorted(want) and all(waves)
+        assert wave_rows == 1 and len(waves) == len(want) or len(waves) < len(want)
+
+
 # ---------------------------------------------------------------- 5 language
 
 def test_language_held_out_accuracy(spark):
